@@ -28,15 +28,17 @@ SECTORS = list(SECTOR_DIGITS)
 SITE_LENGTH = 6
 
 
-def _choose(subject: Column, choices: dict[str, list[str]], results: dict[str, Column]) -> Column:
-    chosen = F
-    for key, values in choices.items():
-        chosen = chosen.when(subject.isin(values), results[key])
-    return chosen.otherwise(F.lit(UNDEFINED))
+def lookup(key: Column, table: dict[str, str]) -> Column:
+    """The entry of a fixed table, NULL if there is none. The key is computed once per row."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def _by_value(groups: dict[str, list[str]]) -> dict[str, str]:
+    return {value: name for name, values in groups.items() for value in values}
 
 
 def site_id(cell: str = CELL) -> Column:
-    return F.left(F.col(cell), F.lit(SITE_LENGTH))
+    return F.substring(F.col(cell), 1, SITE_LENGTH)
 
 
 def site_key(cell: str = CELL) -> Column:
@@ -49,15 +51,17 @@ def band_code(cell: str = CELL) -> Column:
 
 
 def band(cell: str = CELL) -> Column:
-    return _choose(band_code(cell), BAND_CODES, {b: F.lit(b) for b in BANDS})
+    return F.coalesce(lookup(band_code(cell), _by_value(BAND_CODES)), F.lit(UNDEFINED))
 
 
 def sector(cell: str = CELL) -> Column:
-    return _choose(F.right(F.col(cell), F.lit(1)), SECTOR_DIGITS, {s: F.lit(s) for s in SECTORS})
+    last = F.substring(F.col(cell), -1, 1)
+    return F.coalesce(lookup(last, _by_value(SECTOR_DIGITS)), F.lit(UNDEFINED))
 
 
 def network_element(cell: str = CELL) -> Column:
     """Site plus band suffix. ``MM`` cells have one although their band is undefined."""
-    codes = {b: BAND_CODES[b] + NETWORK_ELEMENT_ONLY_CODES.get(b, []) for b in BANDS}
-    names = {b: F.concat(site_id(cell), F.lit(NETWORK_ELEMENT_SUFFIXES[b])) for b in BANDS}
-    return _choose(band_code(cell), codes, names)
+    bands = {**_by_value(BAND_CODES), **_by_value(NETWORK_ELEMENT_ONLY_CODES)}
+    suffixes = {code: NETWORK_ELEMENT_SUFFIXES[name] for code, name in bands.items()}
+    named = F.concat(site_id(cell), lookup(band_code(cell), suffixes))
+    return F.coalesce(named, F.lit(UNDEFINED))

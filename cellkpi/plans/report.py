@@ -86,29 +86,25 @@ def _band_values(rows: DataFrame, charts: list[Chart], decimals: int | None) ->
     )
 
 
-def _chart_rows(values: DataFrame, charts: list[Chart], extra: list[str]) -> DataFrame:
+def _chart_rows(
+    values: DataFrame, charts: list[Chart], period: str, decimals: int | None, stacked: bool
+) -> DataFrame:
     """One row per chart, bucket and series, from one column per aggregated KPI."""
     measures = list(dict.fromkeys(f"{c.agg}_{c.kpi}" for c in charts))
-    long = values.unpivot([*SERIES_KEYS, *extra], measures, "measure", "value")
+    values = values.withColumn("first_bucket", first_bucket(period, F.col("sector")))
+    long = values.unpivot([*SERIES_KEYS, "first_bucket"], measures, "measure", "value")
+    if stacked:
+        # Before the catalogue's columns join, so that the window shuffles narrow rows.
+        long = stack(long, ["site", "bucket", "series_key", "sector", "measure"], decimals)
     catalog = chart_frame(values.sparkSession, charts)
     catalog = catalog.withColumn("measure", F.concat_ws("_", "agg", "kpi")).drop("agg")
     # The catalogue is a list in the program: one row per chart, whatever the size of the facts.
     return long.join(F.broadcast(catalog), ["measure", "series_key", "sector"])
 
 
-def report(
-    rows: DataFrame,
-    period: str,
-    *,
-    charts: list[Chart] = CHARTS,
-    decimals: int | None = None,
+def _report(
+    rows: DataFrame, period: str, charts: list[Chart], decimals: int | None, stacked: bool = False
 ) -> DataFrame:
-    """Every series of every chart for the page rows, one row per chart, bucket and series.
-
-    ``out_of_range`` marks values outside the chart's fixed value range. ``first_bucket`` is where the time
-    axis of the chart starts. It joins a frame of one row per site, before KPIs become rows; Spark broadcasts that
-    frame if its measured size allows and shuffles by site otherwise.
-    """
     timed = with_bucket(rows, period)
     starts = first_times(timed)
 
@@ -118,16 +114,14 @@ def report(
     for group, values_of in ((by_cell, _cell_values), (by_band, _band_values)):
         if group:
             values = values_of(timed, group, decimals).join(starts, "site")
-            values = values.withColumn("first_bucket", first_bucket(period, F.col("sector")))
-            parts.append(_chart_rows(values, group, ["first_bucket"]))
+            parts.append(_chart_rows(values, group, period, decimals, stacked))
     if not parts:
         raise ValueError("no charts to report")
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     value = F.col("value")
-    outside = F.coalesce(value < F.col("y_min"), F.lit(False)) | F.coalesce(
-        value > F.col("y_max"), F.lit(False)
-    )
+    below = F.coalesce(value < F.col("y_min"), F.lit(False))
+    above = F.coalesce(value > F.col("y_max"), F.lit(False))
     return merged.select(
         page_title(F.lit(period), F.col("site")).alias("page"),
         "site",
@@ -141,11 +135,28 @@ def report(
         "value",
         "y_min",
         "y_max",
-        outside.alias("out_of_range"),
+        (below | above).alias("out_of_range"),
         "first_bucket",
+        *(["stack_top"] if stacked else []),
     )
 
 
+def report(
+    rows: DataFrame,
+    period: str,
+    *,
+    charts: list[Chart] = CHARTS,
+    decimals: int | None = None,
+) -> DataFrame:
+    """Every series of every chart for the page rows, one row per chart, bucket and series.
+
+    ``out_of_range`` marks values outside the chart's fixed value range. ``first_bucket`` is where the
+    time axis of the chart starts. It comes from a frame of one row per site, joined while KPIs are
+    still columns; Spark broadcasts that frame if its size allows and shuffles by site otherwise.
+    """
+    return _report(rows, period, charts, decimals)
+
+
 def chart_axes(rows: DataFrame, period: str, *, charts: list[Chart] = CHARTS) -> DataFrame:
     """One row per page and chart that has data: its first bucket and value range."""
     timed = with_bucket(rows, period)
@@ -171,11 +182,7 @@ def stacked_areas(
 ) -> DataFrame:
     """The series of the area charts with the height at which each one ends in the stack."""
     areas = [c for c in charts if c.shape == "area"]
-    return stack(
-        report(rows, period, charts=areas, decimals=decimals),
-        ["site", "item_id", "bucket"],
-        decimals,
-    )
+    return _report(rows, period, areas, decimals, stacked=True)
 
 
 def out_of_range(

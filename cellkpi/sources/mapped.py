@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellkpi.functions.cells import lookup
+
 # Every mapped counter has at most two decimals, five after scaling volumes by 1000.
 DECIMALS = 6
 
-DAILY_CODES = {1: "ML", 2: "MR", 3: "ME", 4: "MT", 5: "MM", 6: "VE", 7: "ZZ"}
+DAILY_CODES = ["ML", "MR", "ME", "MT", "MM", "VE", "ZZ"]
 HOURLY_CODES = {"click": "ML", "purchase": "MR", "view": "ME", "signup": "MT", "error": "MM"}
 
 # Raw header names of the mapped extract that differ from the cleaned ones.
@@ -18,18 +20,24 @@ RAW_NAMES = {
 }
 
 
-def _site(number: str):
+def _site(number: str) -> Column:
     return F.concat(F.lit("SAA"), F.lpad((F.col(number) % 20).cast("string"), 3, "0"))
 
 
-def _cell(site: str, code_of: str, codes: dict, digit_of: str):
-    code = F
-    for key, value in codes.items():
-        code = code.when(F.col(code_of) == key, value)
+def _cell(site: str, code: Column, digit_of: str) -> Column:
     return F.concat(F.col(site), code, (F.col(digit_of) % 8).cast("string"))
 
 
-def _double(text: str):
+def _daily_cell() -> Column:
+    codes = F.array(*[F.lit(c) for c in DAILY_CODES])
+    return _cell("ERBS", F.try_element_at(codes, "l_linenumber"), "l_partkey")
+
+
+def _hourly_cell() -> Column:
+    return _cell("ERBS", lookup(F.col("event_type"), HOURLY_CODES), "event_id")
+
+
+def _double(text: str) -> Column:
     return F.expr(text).cast("double")
 
 
@@ -39,7 +47,7 @@ def cell_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("AREA"),
         F.col("l_shipdate").cast("date").alias("DATE_ID"),
         "ERBS",
-        _cell("ERBS", "l_linenumber", DAILY_CODES, "l_partkey").alias("EUTRANCELLFDD"),
+        _daily_cell().alias("EUTRANCELLFDD"),
         F.col("l_extendedprice").alias("Total_Traffic_Volume"),
         (F.col("l_quantity") * 100).alias("Downlink_Traffic_Volume"),
         (F.col("l_quantity") * 10).alias("Uplink_Traffic_Volume"),
@@ -69,7 +77,7 @@ def cell_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("date").alias("DATE_ID"),
         F.hour("ts").alias("HOUR_ID"),
         "ERBS",
-        _cell("ERBS", "event_type", HOURLY_CODES, "event_id").alias("EUTRANCELLFDD"),
+        _hourly_cell().alias("EUTRANCELLFDD"),
         F.col("value").alias("Total_Traffic_Volume"),
         (F.col("value") * 100).alias("Downlink_Traffic_Volume"),
         (F.col("value") * 10).alias("Uplink_Traffic_Volume"),
@@ -102,7 +110,7 @@ def raw_daily_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("AREA"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("DATE_ID"),
         "ERBS",
-        _cell("ERBS", "l_linenumber", DAILY_CODES, "l_partkey").alias("EUTRANCELLFDD"),
+        _daily_cell().alias("EUTRANCELLFDD"),
         dirty.alias("Total_Traffic_Volume"),
         F.col("l_linenumber").cast("string").alias("pm_count"),
         F.col("l_tax").cast("string").alias("SE_2"),
