@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellkpi.functions.cells import CELL, SECTORS
-from cellkpi.functions.values import aggregate, from_units, page_title, to_units
+from cellkpi.functions.values import AGGREGATES, aggregate, from_units, page_title, to_units
 from cellkpi.operators.axes import ALL_SECTORS, first_bucket, first_times, stack
 from cellkpi.operators.rollups import with_bucket
 from cellkpi.plans.catalog import (
@@ -105,6 +105,9 @@ def _chart_rows(
 def _report(
     rows: DataFrame, period: str, charts: list[Chart], decimals: int | None, stacked: bool = False
 ) -> DataFrame:
+    unknown = {c.agg for c in charts} - set(AGGREGATES)
+    if unknown or not charts:
+        raise ValueError(f"nothing to report, or unknown aggregations: {sorted(unknown)}")
     timed = with_bucket(rows, period)
     starts = first_times(timed)
 
@@ -115,8 +118,6 @@ def _report(
         if group:
             values = values_of(timed, group, decimals).join(starts, "site")
             parts.append(_chart_rows(values, group, period, decimals, stacked))
-    if not parts:
-        raise ValueError("no charts to report")
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     value = F.col("value")

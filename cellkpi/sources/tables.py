@@ -13,6 +13,7 @@ from cellkpi.functions.cells import CELL
 from cellkpi.sources.extracts import with_cell_dimensions
 
 PARTITION = "DATE_ID"
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def _by_day(facts: DataFrame) -> DataFrame:
@@ -26,16 +27,19 @@ def _by_day(facts: DataFrame) -> DataFrame:
     return stored.hint("rebalance", PARTITION).sortWithinPartitions(*order)
 
 
+# How each load mode treats what is there: Spark's save mode, and which partitions it overwrites.
+LOAD_MODES = {
+    "replace": ("overwrite", "static"),
+    "append": ("append", "static"),
+    "reload": ("overwrite", "dynamic"),
+}
+
+
 def _writer(facts: DataFrame, mode: str, max_records_per_file: int) -> DataFrameWriter:
-    writer = _by_day(facts).write.partitionBy(PARTITION)
-    writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    if mode == "replace":
-        return writer.mode("overwrite").option("partitionOverwriteMode", "static")
-    if mode == "append":
-        return writer.mode("append")
-    if mode == "reload":
-        return writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    raise ValueError(f"unknown mode {mode!r}, expected replace, append or reload")
+    if mode not in LOAD_MODES:
+        raise ValueError(f"unknown mode {mode!r}, expected one of {list(LOAD_MODES)}")
+    writer = _by_day(facts).write.partitionBy(PARTITION).mode(LOAD_MODES[mode][0])
+    return writer.option("maxRecordsPerFile", max_records_per_file)
 
 
 def write_facts(
@@ -46,7 +50,8 @@ def write_facts(
     ``replace`` drops what was there, ``append`` adds to it, ``reload`` replaces only the days that
     ``facts`` holds, so that loading a day twice leaves it once.
     """
-    _writer(facts, mode, max_records_per_file).parquet(path)
+    writer = _writer(facts, mode, max_records_per_file)
+    writer.option("partitionOverwriteMode", LOAD_MODES[mode][1]).parquet(path)
 
 
 def save_facts(
@@ -54,14 +59,18 @@ def save_facts(
 ) -> None:
     """Write facts as a catalog table, with the modes of ``write_facts``."""
     spark = facts.sparkSession
-    writer = _writer(facts, mode, max_records_per_file)
-    if mode == "reload" and spark.catalog.tableExists(table):
-        # An existing table fixes the column order, with the partition column last.
-        order = spark.table(table).columns
-        stored = _by_day(facts).select(order)
-        stored.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+    if mode != "reload" or not spark.catalog.tableExists(table):
+        _writer(facts, mode, max_records_per_file).format("parquet").saveAsTable(table)
         return
-    writer.format("parquet").saveAsTable(table)
+    # An existing table fixes the column order and, unlike a path, takes the mode from the session.
+    stored = _by_day(facts).select(spark.table(table).columns)
+    before = spark.conf.get(OVERWRITE_MODE)
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        writer = stored.write.option("maxRecordsPerFile", max_records_per_file)
+        writer.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
