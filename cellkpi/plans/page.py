@@ -13,6 +13,14 @@ from cellkpi.operators.filters import SITE_MODES, Day, dates_between, in_bands
 from cellkpi.operators.measures import scale_measures, with_hour_timestamp
 from cellkpi.sources.extracts import with_cell_dimensions
 
+PAGE_PERIODS = {"daily": ["Daily", "Weekly", "Monthly"], "hourly": ["Hourly"]}
+
+
+def check_period(grain: str, period: str) -> str:
+    if period not in PAGE_PERIODS.get(grain, []):
+        raise ValueError(f"no {period!r} page of {grain} facts, choose from {PAGE_PERIODS}")
+    return period
+
 
 def page_rows(
     facts: DataFrame,

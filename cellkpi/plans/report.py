@@ -23,6 +23,7 @@ from cellkpi.plans.catalog import (
     Chart,
     chart_frame,
 )
+from cellkpi.plans.page import check_period, page_rows
 
 SERIES_KEYS = ["site", "bucket", "series_key", "sector", "series"]
 
@@ -92,7 +93,7 @@ def _chart_rows(
     """One row per chart, bucket and series, from one column per aggregated KPI."""
     measures = list(dict.fromkeys(f"{c.agg}_{c.kpi}" for c in charts))
     values = values.withColumn("first_bucket", first_bucket(period, F.col("sector")))
-    long = values.unpivot([*SERIES_KEYS, "first_bucket"], measures, "measure", "value")
+    long = values.unpivot([*SERIES_KEYS, "page", "first_bucket"], measures, "measure", "value")
     if stacked:
         # Before the catalogue's columns join, so that the window shuffles narrow rows.
         long = stack(long, ["site", "bucket", "series_key", "sector", "measure"], decimals)
@@ -109,14 +110,14 @@ def _report(
     if unknown or not charts:
         raise ValueError(f"nothing to report, or unknown aggregations: {sorted(unknown)}")
     timed = with_bucket(rows, period)
-    starts = first_times(timed)
+    pages = first_times(timed).withColumn("page", page_title(F.lit(period), F.col("site")))
 
     by_cell = [c for c in charts if c.series_key == CELL_SERIES]
     by_band = [c for c in charts if c.series_key != CELL_SERIES]
     parts = []
     for group, values_of in ((by_cell, _cell_values), (by_band, _band_values)):
         if group:
-            values = values_of(timed, group, decimals).join(starts, "site")
+            values = values_of(timed, group, decimals).join(pages, "site")
             parts.append(_chart_rows(values, group, period, decimals, stacked))
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
@@ -124,7 +125,7 @@ def _report(
     below = F.coalesce(value < F.col("y_min"), F.lit(False))
     above = F.coalesce(value > F.col("y_max"), F.lit(False))
     return merged.select(
-        page_title(F.lit(period), F.col("site")).alias("page"),
+        "page",
         "site",
         "item_id",
         "title",
@@ -152,12 +153,26 @@ def report(
     """Every series of every chart for the page rows, one row per chart, bucket and series.
 
     ``out_of_range`` marks values outside the chart's fixed value range. ``first_bucket`` is where the
-    time axis of the chart starts. It comes from a frame of one row per site, joined while KPIs are
-    still columns; Spark broadcasts that frame if its size allows and shuffles by site otherwise.
+    time axis of the chart starts. It comes with the page title from a frame of one row per site, joined
+    while KPIs are still columns; Spark broadcasts that frame if its size allows and shuffles by site otherwise.
     """
     return _report(rows, period, charts, decimals)
 
 
+def page_report(
+    facts: DataFrame,
+    grain: str,
+    period: str,
+    *,
+    charts: list[Chart] = CHARTS,
+    decimals: int | None = None,
+    **scope,
+) -> DataFrame:
+    """The report straight from a fact table; ``scope`` is that of ``page_rows``."""
+    check_period(grain, period)
+    return report(page_rows(facts, grain, **scope), period, charts=charts, decimals=decimals)
+
+
 def chart_axes(rows: DataFrame, period: str, *, charts: list[Chart] = CHARTS) -> DataFrame:
     """One row per page and chart that has data: its first bucket and value range."""
     timed = with_bucket(rows, period)

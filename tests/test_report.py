@@ -11,7 +11,7 @@ from cellkpi.operators import rollups
 from cellkpi.operators.axes import stack
 from cellkpi.plans.catalog import CHARTS, MEAN_KPIS, TOTAL_SERIES, Chart, chart_frame, y_range
 from cellkpi.plans.page import page_rows
-from cellkpi.plans.report import chart_axes, out_of_range, report, stacked_areas
+from cellkpi.plans.report import chart_axes, out_of_range, page_report, report, stacked_areas
 from cellkpi.registry.queries import FACTS, rows_for
 from cellkpi.session import scratch_path
 from cellkpi.sources.mapped import DECIMALS, cell_daily
@@ -172,6 +172,19 @@ def test_empty_page_has_the_report_schema(spark, small):
     assert empty.schema == report(small, "Weekly").schema and empty.count() == 0
 
 
+def test_page_report_is_the_report_of_its_rows(spark, sf_dir):
+    daily = cell_daily(spark, sf_dir)
+    scope = {"site": "saa007", "start": "1996-01-01", "end": "1997-12-31", "bands": ["L1800"]}
+    one = page_report(daily, "daily", "Monthly", decimals=DECIMALS, **scope)
+    rows = page_rows(daily, "daily", **scope)
+    columns = ["page", "item_id", "bucket", "series", "value"]
+    assert values(one, *columns) == values(report(rows, "Monthly", decimals=DECIMALS), *columns)
+    assert {r.page for r in one.collect()} == {"Monthly Site SAA007"}
+    for grain, period in (("daily", "Hourly"), ("hourly", "Weekly"), ("yearly", "Daily")):
+        with pytest.raises(ValueError):
+            page_report(daily, grain, period)
+
+
 # Properties over the mapped tables
 
 
