@@ -1,8 +1,8 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR names the tables, BENCH_CPUS the local threads. Each query runs once to warm up and then
-BENCH_RUNS times; the best time counts. ``facts_*`` queries read a fact table that the ingest wrote, the
-others the mapped test tables.
+BENCH_SF_DIR names the tables, BENCH_CPUS the local threads. Each query runs once to warm up and
+then BENCH_RUNS times; the best time counts. ``facts_*`` queries read a fact table that the ingest
+wrote, the others the mapped test tables.
 """
 
 from __future__ import annotations

@@ -35,8 +35,8 @@ def stack(
 ) -> DataFrame:
     """Add ``stack_top``: the running sum of ``value`` over the series of a bucket, NULL counting 0.
 
-    The input has one row per series already. A window group is one bucket of one chart, with as many
-    rows as the chart has series, and Spark streams through it with a running frame.
+    The input has one row per series already. A window group is one bucket of one chart, with as
+    many rows as the chart has series, and Spark streams through it with a running frame.
     """
     below = Window.partitionBy(*keys).orderBy(order)
     below = below.rowsBetween(Window.unboundedPreceding, Window.currentRow)

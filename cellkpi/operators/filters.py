@@ -29,7 +29,7 @@ def site_contains(df: DataFrame, site: str) -> DataFrame:
 
 
 def site_is(df: DataFrame, site: str) -> DataFrame:
-    """Cells of one site, in any case. On a stored ``SiteKey`` the comparison reaches the file scan."""
+    """Cells of one site, in any case. On a stored ``SiteKey`` this reaches the file scan."""
     key = F.col("SiteKey") if "SiteKey" in df.columns else cells.site_key()
     return df.where(key == check_site(site).lower())
 

@@ -15,7 +15,7 @@ COMPLEMENTED = "LTE_CSFB_SR"
 
 
 def scale_measures(df: DataFrame, grain: str) -> DataFrame:
-    """Show the failure rate and, for daily facts, volumes in thousands. Hourly volumes stay as is."""
+    """Show the failure rate and, for daily facts, volumes in thousands. Hourly ones stay as is."""
     if grain not in VOLUME_SCALE:
         raise ValueError(f"unknown grain {grain!r}, expected one of {list(VOLUME_SCALE)}")
     scale = VOLUME_SCALE[grain]

@@ -1,8 +1,8 @@
 """Calendar-bucketed sums and means of page rows, per site.
 
-The input is the output of ``plans.page.page_rows``. Each function is one grouped aggregation: Spark
-aggregates partially before the shuffle, so a busy site or cell sends one row per task and group. Rows
-without a time have no bucket and are left out here; ``untimed_rows`` counts them.
+The input is the output of ``plans.page.page_rows``. Each function is one grouped aggregation:
+Spark aggregates partially before the shuffle, so a busy site or cell sends one row per task and
+group. Rows without a time have no bucket and are left out here; ``untimed_rows`` counts them.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def series(
     kpis: dict[str, str],
     decimals: int | None = None,
 ) -> DataFrame:
-    """One value per site, bucket and ``by`` columns for each KPI, given as {column: aggregation}."""
+    """One value per site, bucket and ``by`` columns for each KPI, given as {KPI: aggregation}."""
     values = [aggregate(how, F.col(kpi), decimals).alias(kpi) for kpi, how in kpis.items()]
     return with_bucket(rows, period).groupBy("site", "bucket", *by).agg(*values)
 

@@ -27,8 +27,8 @@ class Chart(NamedTuple):
     y_max: float | None
 
 
-# The page's charts in order (title, counter, what a series is, aggregation, shape), and
-# the value ranges of charts by the part of the title before the first hyphen.
+# The page's charts in order (title, counter, what a series is, aggregation, shape),
+# and the value ranges of charts by the part of the title before the first hyphen.
 SITE_CHARTS = [
     ("Payload - Site", "Total_Traffic_Volume", BAND_SERIES, "sum", "area"),
     ("Payload - Site", "Total_Traffic_Volume", TOTAL_SERIES, "sum", "line"),

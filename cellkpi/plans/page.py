@@ -34,9 +34,9 @@ def page_rows(
 ) -> DataFrame:
     """Facts of one site or of all, at raw grain.
 
-    ``site`` labels the page a row belongs to: with ``contains`` it is the text asked for, whatever cells
-    that matched, otherwise the cell's own site in lower case. Dates are compared before hours are
-    added, so the last day keeps all its hours.
+    ``site`` labels the page a row belongs to: with ``contains`` it is the text asked for, whatever
+    cells that matched, otherwise the cell's own site in lower case. Dates are compared before hours
+    are added, so the last day keeps all its hours.
     """
     df = dates_between(facts, start, end)
     if site is not None:

@@ -1,9 +1,9 @@
 """All charts of all pages in one job.
 
-Cells are the finest series. One aggregation by bucket and cell covers every chart drawn per cell, over
-the counters those charts name. One aggregation by bucket, sector and band covers the traffic charts per band
-and the site totals, which are sums of its rows. Both are far smaller than the facts before they are turned
-from one column per KPI into one row per chart.
+Cells are the finest series. One aggregation by bucket and cell covers every chart drawn per cell,
+over the counters those charts name. One aggregation by bucket, sector and band covers the charts
+per band and the site totals, which are sums of its rows, and reads only their counter. Values turn
+from one column per KPI into one row per chart after that, when no shuffle follows.
 """
 
 from __future__ import annotations
@@ -152,9 +152,10 @@ def report(
 ) -> DataFrame:
     """Every series of every chart for the page rows, one row per chart, bucket and series.
 
-    ``out_of_range`` marks values outside the chart's fixed value range. ``first_bucket`` is where the
-    time axis of the chart starts. It comes with the page title from a frame of one row per site, joined
-    while KPIs are still columns; Spark broadcasts that frame if its size allows and shuffles by site otherwise.
+    ``out_of_range`` marks values outside the chart's fixed value range. ``first_bucket`` is where
+    the time axis of the chart starts. It comes with the page title from a frame of one row per
+    site, joined while KPIs are still columns; Spark broadcasts that frame if its size allows and
+    shuffles by site otherwise.
     """
     return _report(rows, period, charts, decimals)
 

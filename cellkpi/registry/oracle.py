@@ -1,7 +1,7 @@
 """The checked queries as SQL for another engine, written chart by chart over the raw rows.
 
-Sums are taken over decimals with six places, which the test tables' counters fit, so that both engines
-have one right answer to the last bit.
+Sums are taken over decimals with six places, which the test tables' counters fit, so that both
+engines have one right answer to the last bit.
 """
 
 from __future__ import annotations
@@ -229,6 +229,9 @@ def oracle_sql() -> dict[str, str]:
         "all_sites_traffic_monthly": report("Monthly", traffic_charts),
         "site_report_weekly": report("Weekly", where=f"{CONTAINS} AND {RANGE}"),
         "site_report_monthly_exact": report("Monthly", where=EXACT, bands="('L1800', 'L900')"),
+        "report_hourly_stored": report("Hourly"),
+        "untimed_rows": f"""SELECT LOWER(LEFT(EUTRANCELLFDD, 6)) AS site, COUNT(*) AS rows
+            FROM ({HOURLY}) WHERE HOUR_ID = 23 AND {BAND} IN {REAL_BANDS} GROUP BY 1""",
         "first_bucket": first_buckets("Weekly"),
         "stacked_area": stacked("Weekly"),
         "stacked_area_hourly": stacked("Hourly"),
@@ -247,6 +250,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(RRC_Setup_Success_Rate_Service AS DOUBLE) AS RRC_Setup_Success_Rate_Service,
             CAST(Intra_Frequency_Handover_Out_Success_Rate AS DOUBLE)
               AS Intra_Frequency_Handover_Out_Success_Rate) FROM ({RAW_DAILY})""",
+        "csv_export": page_rows("Daily"),
         "stream_append": stored,
     }
     for p in PERIODS:

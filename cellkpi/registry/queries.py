@@ -12,9 +12,9 @@ from cellkpi.operators import rollups
 from cellkpi.operators.filters import dates_between, in_bands, in_sector, site_contains, site_is
 from cellkpi.operators.measures import scale_measures, with_hour_timestamp
 from cellkpi.plans.catalog import CHARTS, MEAN_KPIS
-from cellkpi.plans.export import export_rows, preview
+from cellkpi.plans.export import export_rows, preview, write_csv
 from cellkpi.plans.page import page_rows
-from cellkpi.plans.report import chart_axes, out_of_range, report, stacked_areas
+from cellkpi.plans.report import chart_axes, out_of_range, page_report, report, stacked_areas
 from cellkpi.session import scratch_path
 from cellkpi.sources.extracts import clean_extract, read_extract, with_cell_dimensions
 from cellkpi.sources.mapped import DECIMALS, cell_daily, cell_hourly, raw_daily_text
@@ -129,6 +129,25 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_extract(read_extract(spark, path))
 
 
+def _csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "export")
+    rows = rows_for(spark, sf_dir, "Daily")
+    write_csv(rows, path)
+    return spark.read.schema(export_rows(rows).schema).option("header", True).csv(path)
+
+
+def _stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "facts")
+    write_facts(cell_hourly(spark, sf_dir), path)
+    return page_report(read_facts(spark, path), "hourly", "Hourly", decimals=DECIMALS)
+
+
+def _untimed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = cell_hourly(spark, sf_dir)
+    lost = facts.withColumn("HOUR_ID", F.nullif("HOUR_ID", F.lit(23)))
+    return rollups.untimed_rows(page_rows(lost, "hourly"))
+
+
 def _stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracts = scratch_path(spark, "arrivals")
     path, checkpoint = scratch_path(spark, "facts"), scratch_path(spark, "checkpoint")
@@ -187,6 +206,8 @@ def queries() -> dict[str, Query]:
             "Monthly",
             decimals=DECIMALS,
         ),
+        "report_hourly_stored": _stored_report,
+        "untimed_rows": _untimed_rows,
         "first_bucket": _first_bucket,
         "stacked_area": lambda s, d: stacked_areas(
             rows_for(s, d, "Weekly"), "Weekly", decimals=DECIMALS
@@ -204,5 +225,6 @@ def queries() -> dict[str, Query]:
         "write_append": _write_append,
         "write_reload": _write_reload,
         "csv_round_trip": _csv_round_trip,
+        "csv_export": _csv_export,
         "stream_append": _stream_append,
     }

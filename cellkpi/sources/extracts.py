@@ -27,8 +27,8 @@ def header_schema(spark: SparkSession, path: str) -> str:
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
     """An extract as text under its own header names.
 
-    Each file's header is checked against the first one's, so a file with its columns in another order
-    fails instead of landing in the wrong columns.
+    Each file's header is checked against the first one's, so a file with its columns in another
+    order fails instead of landing in the wrong columns.
     """
     reader = spark.read.option("header", True).option("enforceSchema", False)
     return reader.schema(header_schema(spark, path)).csv(path)

@@ -100,7 +100,7 @@ def cell_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_daily_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cell_daily`` as an uncleaned extract: all text, raw names, a counter with unreadable values."""
+    """An uncleaned daily extract: all text, raw names, a counter with unreadable values."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("ERBS", _site("l_suppkey"))
     dirty = F.expr(
         "CASE l_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '#DIV/0!' "

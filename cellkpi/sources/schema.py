@@ -108,8 +108,8 @@ def declared_types(df: DataFrame) -> DataFrame:
 def inferred_types(raw: DataFrame, text_columns: list[str] | None = None) -> DataFrame:
     """One row (name, type) per column of an uncleaned all-text extract, from its values.
 
-    A column of whole numbers without gaps is INT64, any other number column FLOAT64. All columns are
-    judged in one pass that shuffles a single row per task.
+    A column of whole numbers without gaps is INT64, any other number column FLOAT64. All columns
+    are judged in one pass that shuffles a single row per task.
     """
     keep = TEXT_COLUMNS if text_columns is None else text_columns
     named = clean_names(raw)

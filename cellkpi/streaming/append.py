@@ -1,8 +1,9 @@
 """The append load as a stream: every extract file that lands in a folder is loaded once.
 
-The steps are those of the batch load. The stream's checkpoint remembers which files are done, and the
-Parquet sink commits each batch as a whole, so a load that dies and is started again neither loses nor
-repeats a file.
+The steps are those of the batch load. The stream's checkpoint remembers which files are done, and
+the Parquet sink commits each batch as a whole, so a load that dies and is started again neither
+loses nor repeats a file. A table filled this way takes no batch loads: readers follow the stream's
+own list of files.
 """
 
 from __future__ import annotations

@@ -36,7 +36,7 @@ def fingerprint(table) -> tuple[list[tuple[str, str]], int, str]:
 
 def compare(spark, con, sf_dir: str, query, sql: str) -> list[str]:
     ours = fingerprint(query(spark, sf_dir).toArrow())
-    theirs = fingerprint(con.execute(sql).to_arrow_table())
+    theirs = fingerprint(con.sql(sql).to_arrow_table())
     labels = ("columns", "row count", "values")
     return [f"{n}: {a} != {b}" for n, a, b in zip(labels, ours, theirs) if a != b]
 

@@ -99,7 +99,8 @@ def test_bad_dates(spark, tmp_path):
 
 
 def test_types(spark):
-    declared = {r.name: r.type for r in declared_types(spark.createDataFrame([], fact_schema("hourly"))).collect()}
+    empty = spark.createDataFrame([], fact_schema("hourly"))
+    declared = {r.name: r.type for r in declared_types(empty).collect()}
     assert declared["AREA"] == "STRING" and declared["DATE_ID"] == "DATE"
     assert declared["HOUR_ID"] == "INT64" and declared["SE_2"] == "FLOAT64"
     with pytest.raises(TypeError, match="flags"):

@@ -122,7 +122,8 @@ def test_csv_export_round_trip(spark, sf_dir):
 
 
 def test_export_keeps_rows_without_an_hour(spark):
-    rows = [{"EUTRANCELLFDD": "SAA108ML1", "DATE_ID": "2023-07-01", "HOUR_ID": h} for h in (5, None)]
+    cell = {"EUTRANCELLFDD": "SAA108ML1", "DATE_ID": "2023-07-01"}
+    rows = [{**cell, "HOUR_ID": h} for h in (5, None)]
     page = page_rows(facts(spark, rows, "hourly"), "hourly")
     assert export_rows(page).count() == 2
 

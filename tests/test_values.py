@@ -47,7 +47,8 @@ def test_bad_dates_raise_or_become_null(spark, ansi):
     before = spark.conf.get("spark.sql.ansi.enabled")
     spark.conf.set("spark.sql.ansi.enabled", ansi)
     try:
-        good = spark.createDataFrame([("2023-07-01",), ("2023-07-02 10:00:00",), (None,)], "t string")
+        texts = ["2023-07-01", "2023-07-02 10:00:00", None]
+        good = spark.createDataFrame([(t,) for t in texts], "t string")
         got = [r.d for r in good.select(to_date(F.col("t")).alias("d")).collect()]
         assert got == [dt.date(2023, 7, 1), dt.date(2023, 7, 2), None]
         bad = spark.createDataFrame([("07.01.2023",)], "t string")
