@@ -105,6 +105,27 @@ def test_writing_needs_no_range_sampling_and_splits_large_days(spark, sf_dir):
     assert "rangepartitioning" not in text
 
 
+def test_a_busy_day_is_written_by_several_tasks(spark):
+    rows = spark.range(0, 300_000, 1, 8).selectExpr(
+        "concat('SAA', lpad(cast(id % 1000 AS string), 3, '0'), 'ML1') AS EUTRANCELLFDD",
+        "if(id % 3 = 0, DATE '2023-07-01', date_add(DATE '2023-07-02', cast(id % 30 AS int)))"
+        " AS DATE_ID",
+        "rand(7) AS SE_2",
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "500KB")
+    path = scratch_path(spark, "facts")
+    try:
+        write_facts(rows, path)
+    finally:
+        spark.conf.set(key, before)
+    stored = read_facts(spark, path)
+    assert stored.count() == 300_000
+    files = stored.where("DATE_ID = '2023-07-01'").select("_metadata.file_path").distinct()
+    assert files.count() > 1
+
+
 def test_csv_export_round_trip(spark, sf_dir):
     rows = page_rows(cell_hourly(spark, sf_dir), "hourly")
     path = scratch_path(spark, "export")
