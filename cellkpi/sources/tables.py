@@ -13,10 +13,19 @@ from cellkpi.functions.cells import CELL
 from cellkpi.sources.extracts import with_cell_dimensions
 
 PARTITION = "DATE_ID"
+MAX_RECORDS_PER_FILE = 2_000_000
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
-def _by_day(facts: DataFrame) -> DataFrame:
+# How each load mode treats what is there: Spark's save mode, and which partitions it overwrites.
+LOAD_MODES = {
+    "replace": ("overwrite", "static"),
+    "append": ("append", "static"),
+    "reload": ("overwrite", "dynamic"),
+}
+
+
+def _by_day(facts: DataFrame, site_groups: int) -> DataFrame:
     """Rows of a day brought together for writing.
 
     ``rebalance`` lets adaptive execution split a day that is too large for one task and join small
@@ -24,50 +33,50 @@ def _by_day(facts: DataFrame) -> DataFrame:
     """
     stored = with_cell_dimensions(facts)
     order = [c for c in (PARTITION, "SiteKey", CELL, "HOUR_ID") if c in stored.columns]
-    return stored.hint("rebalance", PARTITION).sortWithinPartitions(*order)
+    together = [PARTITION]
+    if site_groups > 1:
+        group = F.pmod(F.xxhash64("SiteKey"), F.lit(site_groups))
+        stored, together = stored.withColumn("site_group", group), [PARTITION, "site_group"]
+    placed = stored.hint("rebalance", *together).sortWithinPartitions(*order)
+    return placed.drop("site_group")
 
 
-# How each load mode treats what is there: Spark's save mode, and which partitions it overwrites.
-LOAD_MODES = {
-    "replace": ("overwrite", "static"),
-    "append": ("append", "static"),
-    "reload": ("overwrite", "dynamic"),
-}
-
-
-def _writer(facts: DataFrame, mode: str, max_records_per_file: int) -> DataFrameWriter:
+def _writer(facts: DataFrame, mode: str, site_groups: int) -> DataFrameWriter:
     if mode not in LOAD_MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {list(LOAD_MODES)}")
-    writer = _by_day(facts).write.partitionBy(PARTITION).mode(LOAD_MODES[mode][0])
-    return writer.option("maxRecordsPerFile", max_records_per_file)
+    writer = _by_day(facts, site_groups).write.partitionBy(PARTITION).mode(LOAD_MODES[mode][0])
+    return writer.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
 
 
 def write_facts(
-    facts: DataFrame, path: str, mode: str = "replace", *, max_records_per_file: int = 20_000_000
+    facts: DataFrame, path: str, mode: str = "replace", *, site_groups: int = 1
 ) -> None:
     """Write facts as Parquet.
 
     ``replace`` drops what was there, ``append`` adds to it, ``reload`` replaces only the days that
     ``facts`` holds, so that loading a day twice leaves it once.
+
+    Days of many files may keep each site in one of ``site_groups`` parts of the day, so that a page
+    of one site skips the other parts. A day gets at least as many files as it has groups.
     """
-    writer = _writer(facts, mode, max_records_per_file)
+    writer = _writer(facts, mode, site_groups)
     writer.option("partitionOverwriteMode", LOAD_MODES[mode][1]).parquet(path)
 
 
 def save_facts(
-    facts: DataFrame, table: str, mode: str = "replace", *, max_records_per_file: int = 20_000_000
+    facts: DataFrame, table: str, mode: str = "replace", *, site_groups: int = 1
 ) -> None:
-    """Write facts as a catalog table, with the modes of ``write_facts``."""
+    """Write facts as a catalog table, with the choices of ``write_facts``."""
     spark = facts.sparkSession
     if mode != "reload" or not spark.catalog.tableExists(table):
-        _writer(facts, mode, max_records_per_file).format("parquet").saveAsTable(table)
+        _writer(facts, mode, site_groups).format("parquet").saveAsTable(table)
         return
     # An existing table fixes the column order and, unlike a path, takes the mode from the session.
-    stored = _by_day(facts).select(spark.table(table).columns)
+    stored = _by_day(facts, site_groups).select(spark.table(table).columns)
     before = spark.conf.get(OVERWRITE_MODE)
     spark.conf.set(OVERWRITE_MODE, "dynamic")
     try:
-        writer = stored.write.option("maxRecordsPerFile", max_records_per_file)
+        writer = stored.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         writer.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(OVERWRITE_MODE, before)

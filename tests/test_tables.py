@@ -100,7 +100,7 @@ def test_latest_date_reads_no_data_column(stored, spark, sf_dir):
 def test_writing_needs_no_range_sampling_and_splits_large_days(spark, sf_dir):
     from cellkpi.sources.tables import _by_day
 
-    text = plan(_by_day(cell_hourly(spark, sf_dir)))
+    text = plan(_by_day(cell_hourly(spark, sf_dir), 4))
     assert "REBALANCE_PARTITIONS_BY_COL" in text
     assert "rangepartitioning" not in text
 
@@ -126,6 +126,34 @@ def test_a_busy_day_is_written_by_several_tasks(spark):
     assert files.count() > 1
 
 
+def test_site_groups_keep_a_site_together(spark):
+    rows = spark.range(0, 100_000, 1, 8).selectExpr(
+        "concat('SAA', lpad(cast(id % 500 AS string), 3, '0'), 'ML1') AS EUTRANCELLFDD",
+        "date_add(DATE '2023-07-02', cast(id % 2 AS int)) AS DATE_ID",
+        "rand(7) AS SE_2",
+    )
+    files = {}
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500KB",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        for groups in (1, 8):
+            path = scratch_path(spark, "facts")
+            write_facts(rows, path, site_groups=groups)
+            stored = read_facts(spark, path)
+            assert stored.count() == 100_000
+            one = stored.where("SiteKey = 'saa004'").select("_metadata.file_path")
+            files[groups] = one.distinct().count()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert files[8] < files[1]
+
+
 def test_csv_export_round_trip(spark, sf_dir):
     rows = page_rows(cell_hourly(spark, sf_dir), "hourly")
     path = scratch_path(spark, "export")
