@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellkpi.llm.byte_pairs import encode_decode
 from cellkpi.llm.common import table
+from cellkpi.llm.line_quality import quality_report
+from cellkpi.llm.private_data import find_private
 from cellkpi.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_quality": lambda s, d: quality_report(table(s, d, "documents")),
         "op2_token_counts": lambda s, d: count_tokens(table(s, d, "documents")),
         "op6_byte_pairs": lambda s, d: encode_decode(table(s, d, "documents")),
+        "op7_private_data": lambda s, d: find_private(table(s, d, "documents")).drop("found"),
     }
 
 
