@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellkpi.llm.byte_dedup import remove_repeated_bytes
 from cellkpi.llm.byte_pairs import encode_decode
 from cellkpi.llm.common import table
 from cellkpi.llm.line_quality import quality_report
+from cellkpi.llm.phrase_dedup import remove_repeated_phrases
 from cellkpi.llm.private_data import find_private
 from cellkpi.llm.token_counts import count_tokens
 
@@ -21,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op2_token_counts": lambda s, d: count_tokens(table(s, d, "documents")),
         "op6_byte_pairs": lambda s, d: encode_decode(table(s, d, "documents")),
         "op7_private_data": lambda s, d: find_private(table(s, d, "documents")).drop("found"),
+        "op9_phrase_dedup": lambda s, d: remove_repeated_phrases(table(s, d, "documents")),
+        "op10_byte_dedup": lambda s, d: remove_repeated_bytes(table(s, d, "documents")),
     }
 
 
