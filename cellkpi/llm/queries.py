@@ -12,6 +12,7 @@ from cellkpi.llm.common import table
 from cellkpi.llm.line_quality import quality_report
 from cellkpi.llm.phrase_dedup import remove_repeated_phrases
 from cellkpi.llm.private_data import find_private
+from cellkpi.llm.simhash_dedup import near_duplicates
 from cellkpi.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_quality": lambda s, d: quality_report(table(s, d, "documents")),
         "op2_token_counts": lambda s, d: count_tokens(table(s, d, "documents")),
+        "op5_simhash_dedup": lambda s, d: near_duplicates(table(s, d, "documents")),
         "op6_byte_pairs": lambda s, d: encode_decode(table(s, d, "documents")),
         "op7_private_data": lambda s, d: find_private(table(s, d, "documents")).drop("found"),
         "op9_phrase_dedup": lambda s, d: remove_repeated_phrases(table(s, d, "documents")),
