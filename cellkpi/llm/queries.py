@@ -10,6 +10,7 @@ from cellkpi.llm.byte_dedup import remove_repeated_bytes
 from cellkpi.llm.byte_pairs import encode_decode
 from cellkpi.llm.common import table
 from cellkpi.llm.line_quality import quality_report
+from cellkpi.llm.neighbours import neighbours_query
 from cellkpi.llm.phrase_dedup import remove_repeated_phrases
 from cellkpi.llm.private_data import find_private
 from cellkpi.llm.simhash_dedup import near_duplicates
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_quality": lambda s, d: quality_report(table(s, d, "documents")),
         "op2_token_counts": lambda s, d: count_tokens(table(s, d, "documents")),
+        "op3_neighbours": lambda s, d: neighbours_query(table(s, d, "embeddings")),
         "op5_simhash_dedup": lambda s, d: near_duplicates(table(s, d, "documents")),
         "op6_byte_pairs": lambda s, d: encode_decode(table(s, d, "documents")),
         "op7_private_data": lambda s, d: find_private(table(s, d, "documents")).drop("found"),
