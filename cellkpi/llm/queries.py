@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from cellkpi.llm.byte_dedup import remove_repeated_bytes
 from cellkpi.llm.byte_pairs import encode_decode
 from cellkpi.llm.common import table
 from cellkpi.llm.line_quality import quality_report
+from cellkpi.llm.mixture import mixing_report
 from cellkpi.llm.neighbours import neighbours_query
 from cellkpi.llm.phrase_dedup import remove_repeated_phrases
 from cellkpi.llm.private_data import find_private
@@ -27,7 +29,9 @@ def queries() -> dict[str, Query]:
         "op5_simhash_dedup": lambda s, d: near_duplicates(table(s, d, "documents")),
         "op6_byte_pairs": lambda s, d: encode_decode(table(s, d, "documents")),
         "op7_private_data": lambda s, d: find_private(table(s, d, "documents")).drop("found"),
+        "op8_source_mixture": lambda s, d: mixing_report(table(s, d, "documents")),
         "op9_phrase_dedup": lambda s, d: remove_repeated_phrases(table(s, d, "documents")),
+        "pipeline": corpus_pipeline.run,
         "op10_byte_dedup": lambda s, d: remove_repeated_bytes(table(s, d, "documents")),
     }
 
