@@ -17,6 +17,7 @@ from cellkpi.llm.phrase_dedup import remove_repeated_phrases
 from cellkpi.llm.private_data import find_private
 from cellkpi.llm.simhash_dedup import near_duplicates
 from cellkpi.llm.token_counts import count_tokens
+from cellkpi.llm.transcripts import render_transcripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op1_line_quality": lambda s, d: quality_report(table(s, d, "documents")),
         "op2_token_counts": lambda s, d: count_tokens(table(s, d, "documents")),
         "op3_neighbours": lambda s, d: neighbours_query(table(s, d, "embeddings")),
+        "op4_transcripts": lambda s, d: render_transcripts(table(s, d, "conversations")),
         "op5_simhash_dedup": lambda s, d: near_duplicates(table(s, d, "documents")),
         "op6_byte_pairs": lambda s, d: encode_decode(table(s, d, "documents")),
         "op7_private_data": lambda s, d: find_private(table(s, d, "documents")).drop("found"),
