@@ -13,12 +13,15 @@ from cellkpi.llm.common import table
 from cellkpi.llm.line_quality import quality_report
 from cellkpi.llm.mixture import mixing_report
 from cellkpi.llm.neighbours import neighbours_query
+from cellkpi.llm.oracle import oracle_sql
 from cellkpi.llm.phrase_dedup import remove_repeated_phrases
 from cellkpi.llm.private_data import find_private
 from cellkpi.llm.simhash_dedup import near_duplicates
 from cellkpi.llm.token_counts import count_tokens
 from cellkpi.llm.transcripts import render_transcripts
 
+__all__ = ["oracle_sql", "queries"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -36,7 +39,3 @@ def queries() -> dict[str, Query]:
         "pipeline": corpus_pipeline.run,
         "op10_byte_dedup": lambda s, d: remove_repeated_bytes(table(s, d, "documents")),
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
