@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellkpi.session import scratch_path
 
 TEXT_BYTES = 4 << 20
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read again, which cuts its lineage."""
+    """``df`` written to the shared scratch folder and read again, which cuts its lineage.
+
+    Shuffle files of the job are released when it has ended rather than when the driver happens to
+    collect garbage: nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE_SHUFFLES, "false")
+    spark.conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(RELEASE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` returned, once nothing will read it again."""
+    spark = df.sparkSession
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value`` with ``value`` computed once per row, however often it is used.
 

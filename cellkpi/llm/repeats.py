@@ -27,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from cellkpi.llm.common import grouped_chunks, sized_slices, stored
+from cellkpi.llm.common import discard, grouped_chunks, sized_slices, stored
 
 CHUNK = 1 << 19
 PLACE_BITS = np.uint64(24)
@@ -364,11 +364,13 @@ def repeated_spans(
     """(row, begin, end) in units of spans that repeated windows cover; spans may overlap."""
     anchors = stored(sample(docs, scheme), "anchors")
     counts = anchors.groupBy("h").count().where("count > 1")
-    again = anchors.join(counts, "h")
-    heavy = F.col("count") > scheme.heavy
+    place = F.struct("h", "place", (F.col("count") > scheme.heavy).alias("heavy"))
+    again = anchors.join(counts, "h").groupBy("row").agg(F.collect_list(place).alias("found"))
+    again = stored(again, "again")
+    discard(anchors)
 
-    def with_text(rows: DataFrame) -> DataFrame:
-        found = rows.groupBy("row").agg(F.collect_list(F.struct("h", "place")).alias("found"))
+    def with_text(wanted: Callable[[Column], Column]) -> DataFrame:
+        found = again.withColumn("found", F.filter("found", wanted)).where(F.size("found") > 0)
         return docs.select("row", "text").join(found, "row").select("row", "text", "found")
 
     def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,17 +379,20 @@ def repeated_spans(
             yield pa.record_batch(list(map(pa.array, arrays)), ["row", "begin", "end"])
 
     schema = "row long, begin long, end long"
-    light = surroundings(with_text(again.where(~heavy)), scheme)
+    light = surroundings(with_text(lambda x: ~x["heavy"]), scheme)
     light = light.repartition("h").sortWithinPartitions("h").mapInArrow(spans, schema)
 
-    each = windows(with_text(again.where(heavy)), scheme)
+    each = windows(with_text(lambda x: x["heavy"]), scheme)
     first = F.min(F.struct("row", "start")).alias("first")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n"), first).where("n > 1")
     matched = each.join(twice, ["w1", "w2"])
     if keep_first:
         matched = matched.where(F.struct("row", "start") != F.col("first"))
     end = (F.col("start") + scheme.window).alias("end")
-    return light.unionAll(matched.select("row", F.col("start").alias("begin"), end))
+    found = light.unionAll(matched.select("row", F.col("start").alias("begin"), end))
+    found = stored(found, "spans")
+    discard(again)
+    return found
 
 
 def covered(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
