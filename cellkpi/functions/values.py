@@ -2,13 +2,15 @@
 
 Sums of doubles depend on the order in which tasks deliver them. Where the counters are known to
 carry at most ``decimals`` decimal places, the aggregates here can add whole units of that size
-instead: exact, the same after any retry or repartitioning, and as cheap as a double sum. Such a sum
-raises an error instead of overflowing. Without ``decimals`` they are Spark's own sum and average.
+instead: exact, the same after any retry or repartitioning, and about as cheap as a double sum. A
+value with more places, a value too large for exact units and a sum too large for a long all raise
+an error, whether the session is in ANSI mode or not. Infinite values and NaN have no units; exact
+sums and means skip them like missing values. Without ``decimals`` they are Spark's own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,18 +24,47 @@ def to_number(text: Column) -> Column:
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
-def to_date(text: Column, fmt: str | None = None, *, strict: bool = True) -> Column:
-    """A date; text that is not one raises an error, or becomes NULL if not ``strict``."""
-    parsed = F.try_to_date(text, fmt) if fmt else text.try_cast("date")
+def to_date(
+    text: Column, fmt: str | Sequence[str] | None = None, *, strict: bool = True
+) -> Column:
+    """A date; text that is not one raises an error, or becomes NULL if not ``strict``.
+
+    Several formats are tried in their order; the first that fits counts.
+    """
+    formats = [fmt] if isinstance(fmt, str) else list(fmt or [])
+    if formats:
+        parsed = F.coalesce(*(F.try_to_date(text, f) for f in formats))
+    else:
+        parsed = text.try_cast("date")
     if not strict:
         return parsed
     complaint = F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")
     return F.when(parsed.isNull() & text.isNotNull(), complaint).otherwise(parsed)
 
 
+# Whole doubles up to here are exact. Binary rounding may leave a value this far off its units.
+LARGEST_UNITS = float(1 << 53)
+ROUNDING = 1e-4
+
+
 def to_units(value: Column, decimals: int) -> Column:
-    """The value as a whole number of 10^-decimals."""
-    return F.rint(value * F.lit(float(10**decimals))).cast("bigint")
+    """The value as a whole number of 10^-decimals; NULL if it is missing, NaN or infinite."""
+    scaled = value * F.lit(float(10**decimals))
+    units = F.rint(scaled)
+    finite = (F.abs(value) < F.lit(float("inf"))) & ~F.isnan(value)
+    fits = F.abs(scaled) < F.lit(LARGEST_UNITS)
+    near = F.abs(scaled - units) <= F.lit(ROUNDING) + F.abs(units) * F.lit(2.0**-50)
+    complaint = F.raise_error(
+        F.concat(F.lit(f"no exact multiple of 1e-{decimals}: "), value.cast("string"))
+    ).cast("bigint")
+    return F.when(finite, F.when(fits & near, units.cast("bigint")).otherwise(complaint))
+
+
+def sum_units(units: Column) -> Column:
+    """The sum of units; raises an error if it does not fit, in any mode."""
+    added = F.try_sum(units)
+    complaint = F.raise_error(F.lit("an exact sum is too large")).cast("bigint")
+    return F.when(added.isNull() & (F.count(units) > 0), complaint).otherwise(added)
 
 
 def from_units(units: Column, decimals: int) -> Column:
@@ -43,13 +74,14 @@ def from_units(units: Column, decimals: int) -> Column:
 def total(value: Column, decimals: int | None = None) -> Column:
     if decimals is None:
         return F.sum(value)
-    return from_units(F.sum(to_units(value, decimals)), decimals)
+    return from_units(sum_units(to_units(value, decimals)), decimals)
 
 
 def mean(value: Column, decimals: int | None = None) -> Column:
     if decimals is None:
         return F.avg(value)
-    return F.try_divide(total(value, decimals), F.count(value).cast("double"))
+    units = to_units(value, decimals)
+    return F.try_divide(from_units(sum_units(units), decimals), F.count(units).cast("double"))
 
 
 AGGREGATES: dict[str, Callable[[Column, int | None], Column]] = {"sum": total, "mean": mean}

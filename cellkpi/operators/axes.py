@@ -40,9 +40,14 @@ def stack(
     """
     below = Window.partitionBy(*keys).orderBy(order)
     below = below.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    value = F.coalesce(F.col("value"), F.lit(0.0))
+    known = ~F.isnan("value") & (F.abs("value") < F.lit(float("inf")))
+    value = F.col("value") if decimals is None else F.when(known, F.col("value"))
+    value = F.coalesce(value, F.lit(0.0))
     if decimals is None:
         top = F.sum(value).over(below)
     else:
-        top = from_units(F.sum(to_units(value, decimals)).over(below), decimals)
+        units = to_units(value, decimals)
+        added = F.try_sum(units).over(below)
+        complaint = F.raise_error(F.lit("an exact sum is too large")).cast("bigint")
+        top = from_units(F.when(added.isNull(), complaint).otherwise(added), decimals)
     return values.withColumn("stack_top", top)

@@ -1,12 +1,12 @@
-"""Raw-grain rows of a page as CSV, preview or Arrow table."""
+"""Raw-grain rows of a page as CSV or preview."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellkpi.functions.cells import CELL
+from cellkpi.sources.extracts import CSV_DIALECT
 
 HELPER_COLUMNS = ["site", "SiteKey"]
 EXPORT_ORDER = ["DATE_ID", CELL]
@@ -18,9 +18,12 @@ def export_rows(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """The export as CSV files with headers, ordered by time and cell across the files."""
+    """The export as CSV files with headers, ordered by time and cell across the files.
+
+    Quotes inside values are doubled, as other CSV readers expect.
+    """
     ordered = export_rows(rows).orderBy(*EXPORT_ORDER)
-    ordered.write.mode("overwrite").option("header", True).csv(path)
+    ordered.write.mode("overwrite").options(**CSV_DIALECT).csv(path)
 
 
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:
@@ -28,11 +31,3 @@ def preview(rows: DataFrame, n: int = 5) -> DataFrame:
     shown = export_rows(rows)
     others = [c for c in shown.columns if c not in EXPORT_ORDER]
     return shown.orderBy(*EXPORT_ORDER, *[F.col(c) for c in others]).limit(n)
-
-
-def to_arrow(result: DataFrame, max_rows: int) -> pa.Table:
-    """A result known to be small as one Arrow table; a larger one is refused, not cut."""
-    table = result.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
-        raise ValueError(f"the result has more than {max_rows} rows; write it to a table instead")
-    return table

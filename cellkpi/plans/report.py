@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellkpi.functions.cells import CELL, SECTORS
-from cellkpi.functions.values import AGGREGATES, aggregate, from_units, page_title, to_units
+from cellkpi.functions.values import (
+    AGGREGATES,
+    aggregate,
+    from_units,
+    page_title,
+    sum_units,
+    to_units,
+)
 from cellkpi.operators.axes import ALL_SECTORS, first_bucket, first_times, stack
 from cellkpi.operators.rollups import with_bucket
 from cellkpi.plans.catalog import (
@@ -56,7 +63,7 @@ def _band_values(rows: DataFrame, charts: list[Chart], decimals: int | None) ->
     parts = {}
     for _, kpi in wanted:
         value = F.col(kpi) if decimals is None else to_units(F.col(kpi), decimals)
-        parts[f"total_{kpi}"] = F.sum(value)
+        parts[f"total_{kpi}"] = F.sum(value) if decimals is None else sum_units(value)
         parts[f"count_{kpi}"] = F.count(value)
     finest = rows.groupBy("site", "bucket", "Sector", "Band").agg(
         *[part.alias(name) for name, part in parts.items()]
@@ -66,7 +73,7 @@ def _band_values(rows: DataFrame, charts: list[Chart], decimals: int | None) ->
     for agg, kpi in wanted:
         total = F.sum(f"total_{kpi}")
         if decimals is not None:
-            total = from_units(total, decimals)
+            total = from_units(sum_units(F.col(f"total_{kpi}")), decimals)
         count = F.sum(f"count_{kpi}").cast("double")
         value = total if agg == "sum" else F.try_divide(total, count)
         finished.append(value.alias(f"{agg}_{kpi}"))
@@ -74,26 +81,30 @@ def _band_values(rows: DataFrame, charts: list[Chart], decimals: int | None) ->
         finest.groupingSets(
             [sets[k] for k in sets if k in kinds], "site", "bucket", "Sector", "Band"
         )
-        .agg(*finished)
+        .agg(
+            (F.grouping("Sector") == 1).alias("over_sectors"),
+            (F.grouping("Band") == 1).alias("over_bands"),
+            *finished,
+        )
+        # A stored sector may be missing or undefined; only the roll-up itself makes "All".
+        .where(F.col("over_sectors") | F.col("Sector").isin(SECTORS))
         .select(
             "site",
             "bucket",
-            F.coalesce("Sector", F.lit(ALL_SECTORS)).alias("sector"),
-            F.coalesce("Band", F.lit(TOTAL_SERIES)).alias("series"),
-            F.when(F.col("Band").isNull(), TOTAL_SERIES).otherwise(BAND_SERIES).alias("series_key"),
+            F.when(F.col("over_sectors"), ALL_SECTORS).otherwise(F.col("Sector")).alias("sector"),
+            F.when(F.col("over_bands"), TOTAL_SERIES).otherwise(F.col("Band")).alias("series"),
+            F.when(F.col("over_bands"), TOTAL_SERIES).otherwise(BAND_SERIES).alias("series_key"),
             *[f"{a}_{k}" for a, k in wanted],
         )
-        .where(F.col("sector").isin([ALL_SECTORS, *SECTORS]))
     )
 
 
 def _chart_rows(
-    values: DataFrame, charts: list[Chart], period: str, decimals: int | None, stacked: bool
+    values: DataFrame, charts: list[Chart], decimals: int | None, stacked: bool
 ) -> DataFrame:
     """One row per chart, bucket and series, from one column per aggregated KPI."""
     measures = list(dict.fromkeys(f"{c.agg}_{c.kpi}" for c in charts))
-    values = values.withColumn("first_bucket", first_bucket(period, F.col("sector")))
-    long = values.unpivot([*SERIES_KEYS, "page", "first_bucket"], measures, "measure", "value")
+    long = values.unpivot(SERIES_KEYS, measures, "measure", "value")
     if stacked:
         # Before the catalogue's columns join, so that the window shuffles narrow rows.
         long = stack(long, ["site", "bucket", "series_key", "sector", "measure"], decimals)
@@ -110,22 +121,20 @@ def _report(
     if unknown or not charts:
         raise ValueError(f"nothing to report, or unknown aggregations: {sorted(unknown)}")
     timed = with_bucket(rows, period)
-    pages = first_times(timed).withColumn("page", page_title(F.lit(period), F.col("site")))
-
     by_cell = [c for c in charts if c.series_key == CELL_SERIES]
     by_band = [c for c in charts if c.series_key != CELL_SERIES]
     parts = []
     for group, values_of in ((by_cell, _cell_values), (by_band, _band_values)):
         if group:
-            values = values_of(timed, group, decimals).join(pages, "site")
-            parts.append(_chart_rows(values, group, period, decimals, stacked))
+            values = values_of(timed, group, decimals)
+            parts.append(_chart_rows(values, group, decimals, stacked))
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     value = F.col("value")
     below = F.coalesce(value < F.col("y_min"), F.lit(False))
     above = F.coalesce(value > F.col("y_max"), F.lit(False))
     return merged.select(
-        "page",
+        page_title(F.lit(period), F.col("site")).alias("page"),
         "site",
         "item_id",
         "title",
@@ -138,7 +147,6 @@ def _report(
         "y_min",
         "y_max",
         (below | above).alias("out_of_range"),
-        "first_bucket",
         *(["stack_top"] if stacked else []),
     )
 
@@ -152,10 +160,9 @@ def report(
 ) -> DataFrame:
     """Every series of every chart for the page rows, one row per chart, bucket and series.
 
-    ``out_of_range`` marks values outside the chart's fixed value range. ``first_bucket`` is where
-    the time axis of the chart starts. It comes with the page title from a frame of one row per
-    site, joined while KPIs are still columns; Spark broadcasts that frame if its size allows and
-    shuffles by site otherwise.
+    ``out_of_range`` marks values outside the chart's fixed value range. Where the time axis of a
+    chart starts is in ``chart_axes``, once per chart. Nothing is joined by site or shuffled by
+    it alone.
     """
     return _report(rows, period, charts, decimals)
 

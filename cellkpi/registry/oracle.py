@@ -7,7 +7,7 @@ engines have one right answer to the last bit.
 from __future__ import annotations
 
 from cellkpi.plans.catalog import CHARTS, MEAN_KPIS, TOTAL_SERIES, Chart
-from cellkpi.registry.queries import END, SITE, START
+from cellkpi.registry.queries import END, RELOAD_FROM, SITE, START
 
 DAILY = """
 SELECT l_returnflag AS AREA, CAST(l_shipdate AS DATE) AS DATE_ID, site AS ERBS,
@@ -66,17 +66,25 @@ SELECT l_returnflag AS AREA, strftime(l_shipdate, '%Y-%m-%d') AS DATE_ID, site A
 FROM (SELECT *, 'SAA' || LPAD(CAST(l_suppkey % 20 AS VARCHAR), 3, '0') AS site FROM lineitem)
 """
 
-BAND = """CASE
-  WHEN SUBSTR(EUTRANCELLFDD, 7, 2) IN ('AL', 'EL', 'IL', 'ML', 'SL') THEN 'L1800'
-  WHEN SUBSTR(EUTRANCELLFDD, 7, 2) IN ('ER', 'HR', 'IR', 'MR') THEN 'L2100'
-  WHEN SUBSTR(EUTRANCELLFDD, 7, 2) IN ('ME', 'MF', 'IE', 'IF', 'MV', 'VE', 'VF') THEN 'L2300'
-  WHEN SUBSTR(EUTRANCELLFDD, 7, 2) IN ('MT', 'ST') THEN 'L900'
-  ELSE 'Not Define' END"""
-SECTOR = """CASE
-  WHEN RIGHT(EUTRANCELLFDD, 1) IN ('1', '4') THEN '1'
-  WHEN RIGHT(EUTRANCELLFDD, 1) IN ('2', '5') THEN '2'
-  WHEN RIGHT(EUTRANCELLFDD, 1) IN ('3', '6') THEN '3'
-  ELSE 'Not Define' END"""
+# Band codes and sector digits of the cell naming scheme.
+BAND_TABLE = {
+    "L1800": "AL EL IL ML SL",
+    "L2100": "ER HR IR MR",
+    "L2300": "ME MF IE IF MV VE VF",
+    "L900": "MT ST",
+}
+SECTOR_TABLE = {"1": "1 4", "2": "2 5", "3": "3 6"}
+
+
+def _looked_up(key: str, table: dict[str, str]) -> str:
+    """A scalar query that finds the name of a code in a table of (code, name) rows."""
+    rows = ", ".join(f"('{c}', '{name}')" for name, codes in table.items() for c in codes.split())
+    return f"""COALESCE((SELECT MAX(coded.name) FROM (VALUES {rows}) AS coded(code, name)
+      WHERE coded.code = {key}), 'Not Define')"""
+
+
+BAND = _looked_up("SUBSTR(EUTRANCELLFDD, 7, 2)", BAND_TABLE)
+SECTOR = _looked_up("RIGHT(EUTRANCELLFDD, 1)", SECTOR_TABLE)
 ELEMENT = f"""CASE ({BAND})
   WHEN 'L1800' THEN LEFT(EUTRANCELLFDD, 6) || 'ML1'
   WHEN 'L2100' THEN LEFT(EUTRANCELLFDD, 6) || 'MR1'
@@ -107,20 +115,53 @@ DAILY_UNITS = """100 - LTE_CSFB_SR AS LTE_CSFB_SR,
   Total_Traffic_Volume / 1000 AS Total_Traffic_Volume"""
 
 
-def page_rows(period: str, where: str = "TRUE", bands: str = REAL_BANDS) -> str:
+# Odd cells as in the Spark mapping, written out on their own.
+ODD_CODES = "AL EL IL ML SL ER HR IR MR ME MF IE IF MV VE VF MT ST MM ZZ".split()
+ODD = f"""
+SELECT CASE WHEN l_partkey % 23 = 0 THEN NULL WHEN l_partkey % 19 = 0 THEN LEFT(cell, 4)
+    WHEN l_partkey % 17 = 0 THEN LOWER(cell) WHEN l_partkey % 13 = 0 THEN 'X' || cell
+    ELSE cell END AS EUTRANCELLFDD, CAST(l_shipdate AS DATE) AS DATE_ID,
+  l_extendedprice AS Total_Traffic_Volume, l_tax AS SE_2,
+  NULLIF(CAST(l_orderkey % 11 AS DOUBLE), 0) AS LTE_CSFB_SR
+FROM (SELECT *, 'SAA' || LPAD(CAST(l_suppkey % 20 AS VARCHAR), 3, '0')
+    || {ODD_CODES}[l_orderkey % 20 + 1] || CAST(l_partkey % 8 AS VARCHAR) AS cell FROM lineitem)
+"""
+VOLUMES = ["Downlink_Traffic_Volume", "Uplink_Traffic_Volume", "Total_Traffic_Volume"]
+WHOLE = f"""SELECT AREA, DATE_ID, ERBS, EUTRANCELLFDD,
+  {", ".join(f"FLOOR({c}) * 1000 AS {c}" for c in VOLUMES)},
+  FLOOR(COLUMNS(* EXCLUDE (AREA, DATE_ID, ERBS, EUTRANCELLFDD, {", ".join(VOLUMES)})))
+FROM ({DAILY})"""
+QUOTED = """SELECT CASE WHEN doc_id % 5 = 0 THEN 'NA'
+    ELSE ' say "x", y: ' || SUBSTR(text, 1, 600) || CHR(10) || '"end" ' END AS AREA,
+  DATE '2023-07-01' AS DATE_ID, source AS ERBS,
+  'SAA007ML' || CAST(doc_id % 8 AS VARCHAR) AS EUTRANCELLFDD, CAST(doc_id AS DOUBLE) AS SE_2
+FROM documents"""
+BUSY = f"SELECT * REPLACE (CAST(DATE_TRUNC('month', DATE_ID) AS DATE) AS DATE_ID) FROM ({DAILY})"
+MISSING_SECTOR = DIMENSIONS.replace(
+    f"{SECTOR} AS Sector", f"CASE WHEN LTE_CSFB_SR % 7 <> 0 THEN {SECTOR} END AS Sector"
+)
+
+
+def page_rows(
+    period: str,
+    where: str = "TRUE",
+    bands: str = REAL_BANDS,
+    daily: str = DAILY,
+    dimensions: str = DIMENSIONS,
+) -> str:
     """Rows in page units with dimensions, at raw grain."""
     if period == "Hourly":
         units = f"100 - LTE_CSFB_SR AS LTE_CSFB_SR, {HOUR_TIMESTAMP} AS DATE_ID"
         shown, source = f"* EXCLUDE (HOUR_ID) REPLACE ({units})", HOURLY
     else:
-        shown, source = f"* REPLACE ({DAILY_UNITS})", DAILY
-    return f"""SELECT * FROM (SELECT {shown}, {DIMENSIONS} FROM ({source}) WHERE {where})
+        shown, source = f"* REPLACE ({DAILY_UNITS})", daily
+    return f"""SELECT * FROM (SELECT {shown}, {dimensions} FROM ({source}) WHERE {where})
       WHERE Band IN {bands}"""
 
 
-def bucketed(period: str, where: str = "TRUE", bands: str = REAL_BANDS) -> str:
+def bucketed(period: str, where: str = "TRUE", bands: str = REAL_BANDS, **source: str) -> str:
     return f"""SELECT *, LOWER(SiteID) AS site, {BUCKETS[period]} AS bucket
-      FROM ({page_rows(period, where, bands)})"""
+      FROM ({page_rows(period, where, bands, **source)})"""
 
 
 def exact(agg: str, kpi: str) -> str:
@@ -128,9 +169,10 @@ def exact(agg: str, kpi: str) -> str:
     return total if agg == "sum" else f"{total} / CAST(COUNT({kpi}) AS DOUBLE)"
 
 
-def rollup(period: str, keys: str, values: str, where: str) -> str:
+def rollup(period: str, keys: str, values: str, where: str, **source: str) -> str:
     keys = ", ".join(k for k in ("site", "bucket", keys) if k)
-    return f"SELECT {keys}, {values} FROM ({bucketed(period)}) WHERE {where} GROUP BY {keys}"
+    rows = bucketed(period, **source)
+    return f"SELECT {keys}, {values} FROM ({rows}) WHERE {where} GROUP BY {keys}"
 
 
 def _value(x: float | None) -> str:
@@ -150,16 +192,19 @@ def _chart(chart: Chart, period: str) -> str:
         {chart.item_id} AS item_id, '{chart.title}' AS title, '{chart.kpi}' AS kpi,
         '{chart.shape}' AS shape, '{chart.sector}' AS sector, {series} AS series, bucket,
         {value} AS value, CAST({low} AS DOUBLE) AS y_min, CAST({high} AS DOUBLE) AS y_max,
-        COALESCE({value} < {low}, FALSE) OR COALESCE({value} > {high}, FALSE) AS out_of_range,
-        MIN(bucket) OVER (PARTITION BY site) AS first_bucket
+        COALESCE({value} < {low}, FALSE) OR COALESCE({value} > {high}, FALSE) AS out_of_range
       FROM rows WHERE {where} GROUP BY {group}"""
 
 
 def report(
-    period: str, charts: list[Chart] = CHARTS, where: str = "TRUE", bands: str = REAL_BANDS
+    period: str,
+    charts: list[Chart] = CHARTS,
+    where: str = "TRUE",
+    bands: str = REAL_BANDS,
+    **source: str,
 ) -> str:
     union = "\nUNION ALL\n".join(_chart(c, period) for c in charts)
-    rows = bucketed(period, where, bands)
+    rows = bucketed(period, where, bands, **source)
     return f"WITH rows AS MATERIALIZED ({rows}), charts AS ({union}) SELECT * FROM charts"
 
 
@@ -243,7 +288,8 @@ def oracle_sql() -> dict[str, str]:
               * EXCLUDE (DATE_ID, EUTRANCELLFDD)) NULLS FIRST LIMIT 5""",
         "write_overwrite": stored,
         "write_append": f"{stored} UNION ALL {stored}",
-        "write_reload": stored,
+        "write_reload": f"""SELECT * REPLACE (CASE WHEN DATE_ID >= DATE '{RELOAD_FROM}'
+            THEN SE_2 + 1 ELSE SE_2 END AS SE_2) FROM ({stored})""",
         "csv_round_trip": f"""SELECT * REPLACE (CAST(DATE_ID AS DATE) AS DATE_ID,
             TRY_CAST(Total_Traffic_Volume AS DOUBLE) AS Total_Traffic_Volume,
             CAST(pm_count AS DOUBLE) AS pm_count, CAST(SE_2 AS DOUBLE) AS SE_2,
@@ -252,6 +298,33 @@ def oracle_sql() -> dict[str, str]:
               AS Intra_Frequency_Handover_Out_Success_Rate) FROM ({RAW_DAILY})""",
         "csv_export": page_rows("Daily"),
         "stream_append": stored,
+        "csv_quoted_round_trip": QUOTED,
+        "extract_missing_texts": f"SELECT * REPLACE (NULLIF(AREA, 'NA') AS AREA) FROM ({QUOTED})",
+        "csv_export_quoted": f"""SELECT * REPLACE (NULLIF(AREA, 'NA') AS AREA), {DIMENSIONS}
+            FROM ({QUOTED})""",
+        "report_monthly_default": report("Monthly", daily=WHOLE),
+        "kpi_mean_by_sector_cell_weekly_default": rollup(
+            "Weekly", "Sector, EUTRANCELLFDD", means, in_sector, daily=WHOLE
+        ),
+        "report_monthly_missing_sectors": report("Monthly", dimensions=MISSING_SECTOR),
+        "cell_dims_all_codes": f"SELECT EUTRANCELLFDD, DATE_ID, {DIMENSIONS} FROM ({ODD})",
+        "site_contains_wildcard": f"""SELECT {values} FROM ({ODD})
+            WHERE regexp_matches(LOWER(EUTRANCELLFDD), 's..00.')""",
+        "site_contains_inner": f"SELECT {values} FROM ({ODD}) WHERE {CONTAINS}",
+        "site_exact_odd_cells": f"SELECT {values} FROM ({ODD}) WHERE {EXACT}",
+        "complement_nulls": f"""SELECT EUTRANCELLFDD, DATE_ID,
+            Total_Traffic_Volume / 1000 AS Total_Traffic_Volume, 100 - LTE_CSFB_SR AS LTE_CSFB_SR
+            FROM ({ODD})""",
+        "hour_rollover": f"""SELECT EUTRANCELLFDD, SE_2, Total_Traffic_Volume,
+            CAST(DATE_ID AS TIMESTAMP) + (HOUR_ID + CAST(SE_2 AS INTEGER)) * INTERVAL 1 HOUR
+              AS DATE_ID FROM ({HOURLY})""",
+        "report_weekly_stored_daily": report("Weekly", daily=BUSY),
+        "latest_date_stored": f"SELECT MAX(DATE_ID) AS most_recent_date FROM ({BUSY})",
+        "cached_page_three_periods": "\nUNION ALL\n".join(
+            f"SELECT * FROM ({report(p, where=f'{CONTAINS} AND {RANGE}')})"
+            for p in ("Daily", "Weekly", "Monthly")
+        ),
+        "empty_selection": report("Weekly", where="FALSE"),
     }
     for p in PERIODS:
         name = p.lower()

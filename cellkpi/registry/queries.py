@@ -13,11 +13,27 @@ from cellkpi.operators.filters import dates_between, in_bands, in_sector, site_c
 from cellkpi.operators.measures import scale_measures, with_hour_timestamp
 from cellkpi.plans.catalog import CHARTS, MEAN_KPIS
 from cellkpi.plans.export import export_rows, preview, write_csv
-from cellkpi.plans.page import page_rows
+from cellkpi.plans.page import cached, page_rows
 from cellkpi.plans.report import chart_axes, out_of_range, page_report, report, stacked_areas
 from cellkpi.session import scratch_path
-from cellkpi.sources.extracts import clean_extract, read_extract, with_cell_dimensions
-from cellkpi.sources.mapped import DECIMALS, cell_daily, cell_hourly, raw_daily_text
+from cellkpi.sources.extracts import (
+    CSV_DIALECT,
+    clean_extract,
+    csv_options,
+    read_extract,
+    with_cell_dimensions,
+)
+from cellkpi.sources.mapped import (
+    DECIMALS,
+    busy_days,
+    cell_daily,
+    cell_hourly,
+    missing_sectors,
+    odd_cells,
+    quoted_text,
+    raw_daily_text,
+    whole_daily,
+)
 from cellkpi.sources.schema import clean_names, inferred_types
 from cellkpi.sources.tables import latest_date, read_facts, write_facts
 from cellkpi.streaming.append import append_facts, stream_extracts
@@ -115,25 +131,42 @@ def _write_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, load)
 
 
+RELOAD_FROM = "2024-01-10"
+
+
 def _write_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     def load(facts: DataFrame, path: str) -> None:
         write_facts(facts, path)
-        write_facts(dates_between(facts, "2024-01-10"), path, "reload")
+        changed = dates_between(facts, RELOAD_FROM).withColumn("SE_2", F.col("SE_2") + 1)
+        write_facts(changed, path, "reload")
 
     return _stored(spark, sf_dir, load)
 
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "extract")
-    raw_daily_text(spark, sf_dir).write.option("header", True).csv(path)
+    raw_daily_text(spark, sf_dir).write.options(**CSV_DIALECT).csv(path)
     return clean_extract(read_extract(spark, path))
 
 
+def _quoted_round_trip(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    path = scratch_path(spark, "extract")
+    quoted_text(spark, sf_dir).write.options(**CSV_DIALECT).csv(path)
+    return clean_extract(read_extract(spark, path, multi_line=True), **options)
+
+
+def _quoted_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "export")
+    rows = page_rows(clean_extract(quoted_text(spark, sf_dir)), "daily")
+    write_csv(rows, path)
+    return spark.read.schema(export_rows(rows).schema).options(**csv_options(True)).csv(path)
+
+
 def _csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "export")
     rows = rows_for(spark, sf_dir, "Daily")
     write_csv(rows, path)
-    return spark.read.schema(export_rows(rows).schema).option("header", True).csv(path)
+    return spark.read.schema(export_rows(rows).schema).options(**csv_options()).csv(path)
 
 
 def _stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +175,28 @@ def _stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_report(read_facts(spark, path), "hourly", "Hourly", decimals=DECIMALS)
 
 
+def _stored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "facts")
+    write_facts(busy_days(spark, sf_dir), path)
+    return read_facts(spark, path)
+
+
+def _cached_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of three periods over one kept selection, written before it is released."""
+    path = scratch_path(spark, "pages")
+    with cached(rows_for(spark, sf_dir, "Daily", site=SITE, start=START, end=END)) as rows:
+        for period in ("Daily", "Weekly", "Monthly"):
+            page = report(rows, period, decimals=DECIMALS)
+            page.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _hour_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = cell_hourly(spark, sf_dir)
+    late = facts.withColumn("HOUR_ID", F.col("HOUR_ID") + F.col("SE_2").cast("int"))
+    return with_hour_timestamp(late).select(VALUES)
+
+
 def _untimed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = cell_hourly(spark, sf_dir)
     lost = facts.withColumn("HOUR_ID", F.nullif("HOUR_ID", F.lit(23)))
@@ -153,7 +208,7 @@ def _stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = scratch_path(spark, "facts"), scratch_path(spark, "checkpoint")
     raw = cell_hourly(spark, sf_dir)
     for arrived in (raw.where("HOUR_ID < 12"), raw.where("HOUR_ID >= 12")):
-        arrived.write.mode("append").option("header", True).csv(extracts)
+        arrived.write.mode("append").options(**CSV_DIALECT).csv(extracts)
         facts = clean_extract(stream_extracts(spark, extracts))
         append_facts(facts, path, checkpoint).awaitTermination()
     return read_facts(spark, path).drop("SiteKey")
@@ -227,4 +282,36 @@ def queries() -> dict[str, Query]:
         "csv_round_trip": _csv_round_trip,
         "csv_export": _csv_export,
         "stream_append": _stream_append,
+        "csv_quoted_round_trip": lambda s, d: _quoted_round_trip(s, d, missing_texts=[]),
+        "extract_missing_texts": _quoted_round_trip,
+        "csv_export_quoted": _quoted_export,
+        "report_monthly_default": lambda s, d: report(
+            page_rows(whole_daily(s, d), "daily"), "Monthly"
+        ),
+        "kpi_mean_by_sector_cell_weekly_default": lambda s, d: rollups.means_by_sector_cell(
+            page_rows(whole_daily(s, d), "daily"), "Weekly", MEAN_KPIS
+        ),
+        "report_monthly_missing_sectors": lambda s, d: report(
+            page_rows(missing_sectors(s, d), "daily"), "Monthly", decimals=DECIMALS
+        ),
+        "cell_dims_all_codes": lambda s, d: with_cell_dimensions(odd_cells(s, d)).select(
+            "EUTRANCELLFDD", "DATE_ID", "SiteID", "Band", "Sector", "NEID"
+        ),
+        "site_contains_wildcard": lambda s, d: site_contains(odd_cells(s, d), "s__00_").select(
+            VALUES
+        ),
+        "site_contains_inner": lambda s, d: site_contains(odd_cells(s, d), SITE).select(VALUES),
+        "site_exact_odd_cells": lambda s, d: site_is(odd_cells(s, d), SITE).select(VALUES),
+        "complement_nulls": lambda s, d: scale_measures(odd_cells(s, d), "daily").select(
+            "EUTRANCELLFDD", "DATE_ID", "Total_Traffic_Volume", "LTE_CSFB_SR"
+        ),
+        "hour_rollover": _hour_rollover,
+        "report_weekly_stored_daily": lambda s, d: page_report(
+            _stored_daily(s, d), "daily", "Weekly", decimals=DECIMALS
+        ),
+        "latest_date_stored": lambda s, d: latest_date(_stored_daily(s, d)),
+        "cached_page_three_periods": _cached_page,
+        "empty_selection": lambda s, d: report(
+            rows_for(s, d, "Weekly", bands=[]), "Weekly", decimals=DECIMALS
+        ),
     }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellkpi.functions import cells
 from cellkpi.functions.values import to_date, to_number
-from cellkpi.sources.schema import TEXT_COLUMNS, clean_names
+from cellkpi.sources.schema import MISSING_TEXTS, TEXT_COLUMNS, check_columns, clean_names
 
 DIMENSIONS = {
     "SiteID": cells.site_id,
@@ -18,39 +19,70 @@ DIMENSIONS = {
 }
 
 
-def header_schema(spark: SparkSession, path: str) -> str:
+CSV_DIALECT = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def csv_options(multi_line: bool = False) -> dict[str, object]:
+    """How extracts are read, in batch and as a stream: doubled quotes, every row as wide as the header.
+
+    Whole rows are parsed whatever columns are used, so that a row with fields to spare, or one that
+    a quoted line break splits, fails the job instead of losing or shifting values. ``multi_line``
+    reads line breaks in quotes; such files are not split over tasks.
+    """
+    strict = {"enforceSchema": False, "mode": "FAILFAST", "columnPruning": False}
+    return {**CSV_DIALECT, **strict, "multiLine": multi_line}
+
+
+def header_schema(spark: SparkSession, path: str, multi_line: bool = False) -> T.StructType:
     """The header of an extract as a schema of text columns; reads one line."""
-    names = spark.read.option("header", True).csv(path).columns
-    return ", ".join(f"`{n}` STRING" for n in names)
+    names = spark.read.options(**CSV_DIALECT, multiLine=multi_line).csv(path).columns
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_extract(spark: SparkSession, path: str) -> DataFrame:
+def read_extract(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """An extract as text under its own header names.
 
     Each file's header is checked against the first one's, so a file with its columns in another
     order fails instead of landing in the wrong columns.
     """
-    reader = spark.read.option("header", True).option("enforceSchema", False)
-    return reader.schema(header_schema(spark, path)).csv(path)
+    reader = spark.read.options(**csv_options(multi_line))
+    return reader.schema(header_schema(spark, path, multi_line)).csv(path)
 
 
 def clean_extract(
     raw: DataFrame,
     *,
+    grain: str | None = None,
     text_columns: list[str] | None = None,
-    date_format: str | None = None,
+    missing_texts: list[str] | None = None,
+    date_format: str | list[str] | None = None,
     strict_dates: bool = True,
 ) -> DataFrame:
-    """Clean names, parse ``DATE_ID`` and turn every other non-text column into numbers."""
+    """Clean names, parse ``DATE_ID`` and turn every other non-text column into numbers.
+
+    With a ``grain``, missing and unknown columns raise. A text column whose value is one of
+    ``missing_texts`` is NULL; an empty list keeps all texts. Several date formats are tried in order.
+    """
     keep = TEXT_COLUMNS if text_columns is None else text_columns
+    absent = MISSING_TEXTS if missing_texts is None else missing_texts
     named = clean_names(raw)
+    if grain is not None:
+        check_columns(named.columns, grain)
 
     def convert(name: str):
         text = F.col(name)
+        if (name == "DATE_ID" or name in keep) and absent:
+            text = F.when(~text.isin(absent), text)
         if name == "DATE_ID":
             return to_date(text, date_format, strict=strict_dates).alias(name)
         if name in keep:
-            return text
+            return text.alias(name)
         number = to_number(text)
         return (number.try_cast("int") if name == "HOUR_ID" else number).alias(name)
 

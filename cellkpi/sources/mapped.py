@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellkpi.functions.cells import lookup
+from cellkpi.functions.cells import BAND_CODES, CELL, lookup, sector
+from cellkpi.operators.measures import VOLUMES
 
 # Every mapped counter has at most two decimals, five after scaling volumes by 1000.
 DECIMALS = 6
@@ -121,3 +122,64 @@ def raw_daily_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             RAW_NAMES["Intra_Frequency_Handover_Out_Success_Rate"]
         ),
     )
+
+
+ODD_CODES = [*(code for codes in BAND_CODES.values() for code in codes), "MM", "ZZ"]
+
+
+def odd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts whose cells have every code, and names in lower case, prefixed, cut short or missing."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("ERBS", _site("l_suppkey"))
+    codes = F.array(*[F.lit(c) for c in ODD_CODES])
+    code = F.get(codes, (F.col("l_orderkey") % len(ODD_CODES)).cast("int"))
+    cell = _cell("ERBS", code, "l_partkey")
+    part = F.col("l_partkey")
+    odd = (
+        F.when(part % 23 == 0, None)
+        .when(part % 19 == 0, F.substring(cell, 1, 4))
+        .when(part % 17 == 0, F.lower(cell))
+        .when(part % 13 == 0, F.concat(F.lit("X"), cell))
+        .otherwise(cell)
+    )
+    return lines.select(
+        odd.alias(CELL),
+        F.col("l_shipdate").cast("date").alias("DATE_ID"),
+        F.col("l_extendedprice").alias("Total_Traffic_Volume"),
+        F.col("l_tax").alias("SE_2"),
+        F.nullif(_double("l_orderkey % 11"), F.lit(0.0)).alias("LTE_CSFB_SR"),
+    )
+
+
+def whole_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily facts of whole numbers, also in page units, so that their double sums are exact."""
+    facts = cell_daily(spark, sf_dir)
+    counters = [name for name, kind in facts.dtypes if kind == "double"]
+    whole = {c: F.floor(c).cast("double") for c in counters}
+    whole.update({c: whole[c] * 1000 for c in VOLUMES})
+    return facts.withColumns(whole)
+
+
+def busy_days(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
+    """Daily facts on few days of many rows, as a network has them: a month or year is one day."""
+    return cell_daily(spark, sf_dir).withColumn("DATE_ID", F.trunc("DATE_ID", unit))
+
+
+def missing_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily facts with a stored sector that is NULL for some rows."""
+    some = F.col("LTE_CSFB_SR") % 7 == 0
+    return cell_daily(spark, sf_dir).withColumn("Sector", F.when(~some, sector()))
+
+
+def quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an extract of text columns, with quotes, commas, line breaks and gaps."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    area = F.when(F.col("doc_id") % 5 == 0, "NA").otherwise(
+        F.concat(F.lit(' say "x", y: '), F.substring("text", 1, 600), F.lit('\n"end" '))
+    )
+    return docs.select(
+        area.alias("AREA"),
+        F.lit("2023-07-01").alias("DATE_ID"),
+        F.col("source").alias("ERBS"),
+        F.concat(F.lit("SAA007ML"), (F.col("doc_id") % 8).cast("string")).alias(CELL),
+        F.col("doc_id").cast("string").alias("SE_2"),
+    )

@@ -49,13 +49,82 @@ DAILY_HEADER = [
     "Integrity_PacketLossRate_DL",
     "Integrity_PacketLossRate_UL",
 ]
-DAILY_ONLY = ["Maximum_User_Number_RrcConn", "pm_count", "pmCellDownTimeAuto", "pmCellDownTimeMan"]
-HOURLY_ONLY = ["HOUR_ID", "Band_", "Sector_", "NEID_", "SiteID_"]
+HOURLY_HEADER = [
+    "AREA",
+    "DATE_ID",
+    "HOUR_ID",
+    "ERBS",
+    "EUTRANCELLFDD",
+    "LTE_CSFB_SR",
+    "RRC Setup Success Rate (Service)",
+    "ERAB_Setup_Success_Rate_All",
+    "Session_Setup_Success_Rate",
+    "Session_Abnormal_Release",
+    "Intra-Frequency Handover Out Success Rate",
+    "Radio_Network_Availability_Rate",
+    "Cell_Downlink_Average_Throughput",
+    "Cell_Uplink_Average_Throughput",
+    "DL_PDCP_User_Throughput",
+    "User_Uplink_Average_Throughput",
+    "DL_Resource_Block_Utilizing_Rate",
+    "UL_Resource_Block_Utilizing_Rate",
+    "Downlink_Traffic_Volume",
+    "Uplink_Traffic_Volume",
+    "Total_Traffic_Volume",
+    "Max DL Cell Downlink Throughput",
+    "Max UL Cell Downlink Throughput",
+    "L_LATENCY_DL_ms",
+    "Integrity_PacketLossRate_DL",
+    "Integrity_PacketLossRate_UL",
+    "inter_freq_HO",
+    "UL_RSSI_dbm",
+    "SE_2",
+    "Average_CQI_nonHOME",
+    "volte_traffic_erl",
+    "volte_payload_DL",
+    "volte_payload_UL",
+    "Band_",
+    "Sector_",
+    "NEID_",
+    "SiteID_",
+]
 TEXT_COLUMNS = ["AREA", "DATE_ID", "ERBS", "EUTRANCELLFDD"]
-
-HOURLY_HEADER = [c for c in DAILY_HEADER if c not in DAILY_ONLY] + HOURLY_ONLY
 HEADERS = {"daily": DAILY_HEADER, "hourly": HOURLY_HEADER}
 
+# Texts that extracts write for a missing value.
+MISSING_TEXTS = [
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+]
+
+
+def check_columns(names: list[str], grain: str) -> None:
+    """Raise unless cleaned column names are those of the documented extract, in any order."""
+    if grain not in HEADERS:
+        raise ValueError(f"unknown grain {grain!r}, expected one of {list(HEADERS)}")
+    wanted = [clean_name(c) for c in HEADERS[grain]]
+    missing = [c for c in wanted if c not in names]
+    unknown = [c for c in names if c not in wanted]
+    if missing or unknown:
+        raise ValueError(f"not a {grain} extract: missing {missing}, unknown {unknown}")
+
 
 def clean_name(name: str) -> str:
     """A column name that a table accepts: no blanks, brackets or hyphens."""

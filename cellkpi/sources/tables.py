@@ -14,8 +14,6 @@ from cellkpi.sources.extracts import with_cell_dimensions
 
 PARTITION = "DATE_ID"
 MAX_RECORDS_PER_FILE = 2_000_000
-OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
-
 
 # How each load mode treats what is there: Spark's save mode, and which partitions it overwrites.
 LOAD_MODES = {
@@ -41,6 +39,27 @@ def _by_day(facts: DataFrame, site_groups: int) -> DataFrame:
     return placed.drop("site_group")
 
 
+STREAM_LOG = "_spark_metadata"
+
+
+def _there(spark: SparkSession, path: str, name: str = "") -> bool:
+    """Whether a file or folder exists, in whatever store the path is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}".rstrip("/"))
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def check_batch_path(spark: SparkSession, path: str) -> None:
+    """Raise if a stream fills the table at ``path``: its readers would not see other files."""
+    if _there(spark, path, STREAM_LOG):
+        raise ValueError(f"{path} is filled by a stream; batch loads need a table of their own")
+
+
+def check_stream_path(spark: SparkSession, path: str) -> None:
+    """Raise if ``path`` holds a table that no stream fills: a stream's log would hide its rows."""
+    if _there(spark, path) and not _there(spark, path, STREAM_LOG):
+        raise ValueError(f"{path} is filled by batch loads; a stream needs a table of its own")
+
+
 def _writer(facts: DataFrame, mode: str, site_groups: int) -> DataFrameWriter:
     if mode not in LOAD_MODES:
         raise ValueError(f"unknown mode {mode!r}, expected one of {list(LOAD_MODES)}")
@@ -60,6 +79,7 @@ def write_facts(
     of one site skips the other parts. A day gets at least as many files as it has groups.
     """
     writer = _writer(facts, mode, site_groups)
+    check_batch_path(facts.sparkSession, path)
     writer.option("partitionOverwriteMode", LOAD_MODES[mode][1]).parquet(path)
 
 
@@ -71,15 +91,16 @@ def save_facts(
     if mode != "reload" or not spark.catalog.tableExists(table):
         _writer(facts, mode, site_groups).format("parquet").saveAsTable(table)
         return
-    # An existing table fixes the column order and, unlike a path, takes the mode from the session.
-    stored = _by_day(facts, site_groups).select(spark.table(table).columns)
-    before = spark.conf.get(OVERWRITE_MODE)
-    spark.conf.set(OVERWRITE_MODE, "dynamic")
-    try:
-        writer = stored.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        writer.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set(OVERWRITE_MODE, before)
+    # Inserting would take the overwrite mode from the session, for all its jobs; the table's folder
+    # takes it from the write. Then the catalog learns of days it has not seen.
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+    location = described.where("col_name = 'Location'").first().data_type
+    unknown = set(with_cell_dimensions(facts).columns) ^ set(spark.table(table).columns)
+    if unknown:
+        raise ValueError(f"columns that only the table or only the facts have: {sorted(unknown)}")
+    write_facts(facts, location, "reload", site_groups=site_groups)
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from parity import compare, connect
 
 import __spark_entry__ as registered
+from cellkpi.registry import oracle, queries
 
-QUERIES, ORACLE = registered.queries(), registered.oracle_sql()
+QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +25,10 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, QUERIES[name], ORACLE[name]) == []
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(registered.queries())
+    assert ORACLE.items() <= registered.oracle_sql().items()
+
+
 def test_entry_has_rows(spark):
     assert registered.entry(spark).limit(1).count() == 1

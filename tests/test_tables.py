@@ -6,7 +6,7 @@ import pytest
 from helpers import facts, plan, values
 
 from cellkpi.operators.filters import dates_between, in_bands, site_is
-from cellkpi.plans.export import export_rows, preview, to_arrow, write_csv
+from cellkpi.plans.export import export_rows, preview, write_csv
 from cellkpi.plans.page import cached, page_rows
 from cellkpi.session import scratch_path
 from cellkpi.sources.extracts import clean_extract, read_extract
@@ -177,13 +177,10 @@ def test_export_keeps_rows_without_an_hour(spark):
     assert export_rows(page).count() == 2
 
 
-def test_preview_and_arrow(spark):
+def test_preview(spark):
     df = some(spark, *[("SAA108ML1", f"2023-07-0{d}", float(d)) for d in (3, 1, 2)])
     rows = page_rows(df, "daily")
     assert [r.DATE_ID.day for r in preview(rows, 2).collect()] == [1, 2]
-    assert to_arrow(rows, 3).num_rows == 3
-    with pytest.raises(ValueError):
-        to_arrow(rows, 2)
 
 
 def test_cached_rows_are_released(spark):

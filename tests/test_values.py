@@ -91,3 +91,47 @@ def test_unknown_aggregate():
 def test_title(spark):
     row = spark.range(1).select(page_title(F.lit("Weekly"), F.lit("saa108")).alias("t")).first()
     assert row.t == "Weekly Site SAA108"
+
+
+@pytest.fixture(params=["true", "false"])
+def any_mode(spark, request):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def exact(spark, values, how="sum", decimals=6):
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    return df.agg(aggregate(how, F.col("v"), decimals).alias("s")).first().s
+
+
+@pytest.mark.parametrize("values", [[1e-7] * 10, [0.5, 1e13], [9e15], [-1e300]])
+def test_values_without_exact_units_raise(spark, any_mode, values):
+    with pytest.raises(Exception, match="no exact multiple"):
+        exact(spark, values)
+
+
+def test_sums_that_do_not_fit_raise(spark, any_mode):
+    assert exact(spark, [9e9] * 2) == 1.8e10
+    with pytest.raises(Exception, match="too large"):
+        exact(spark, [9e9] * 1100)
+
+
+def test_exact_sums_skip_what_is_not_finite(spark, any_mode):
+    odd = [math.nan, math.inf, -math.inf, None]
+    assert exact(spark, [*odd, 1.5, 2.5]) == 4.0
+    assert exact(spark, [*odd, 1.5, 2.5], "mean") == 2.0
+    assert exact(spark, odd) is None and exact(spark, odd, "mean") is None
+
+
+def test_units_survive_a_change_of_unit(spark):
+    values = [n / 100 / 1000 for n in range(1, 3000, 7)]
+    assert exact(spark, values) == sum(range(1, 3000, 7)) / 1e5
+
+
+def test_date_formats_are_tried_in_order(spark):
+    df = spark.createDataFrame([("7/1/2023",), ("2023-07-02",), ("x",)], "t string")
+    formats = ["yyyy-MM-dd", "M/d/yyyy"]
+    got = [r.d for r in df.select(to_date(F.col("t"), formats, strict=False).alias("d")).collect()]
+    assert got == [dt.date(2023, 7, 1), dt.date(2023, 7, 2), None]
