@@ -318,6 +318,8 @@ def oracle_sql() -> dict[str, str]:
         "hour_rollover": f"""SELECT EUTRANCELLFDD, SE_2, Total_Traffic_Volume,
             CAST(DATE_ID AS TIMESTAMP) + (HOUR_ID + CAST(SE_2 AS INTEGER)) * INTERVAL 1 HOUR
               AS DATE_ID FROM ({HOURLY})""",
+        "default_dates": f"""SELECT {values} FROM ({HOURLY})
+            WHERE DATE_ID BETWEEN DATE '2023-07-01' AND CURRENT_DATE""",
         "report_weekly_stored_daily": report("Weekly", daily=BUSY),
         "latest_date_stored": f"SELECT MAX(DATE_ID) AS most_recent_date FROM ({BUSY})",
         "cached_page_three_periods": "\nUNION ALL\n".join(

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from cellkpi.functions.values import to_date, to_number
 from cellkpi.operators import rollups
-from cellkpi.operators.filters import dates_between, in_bands, in_sector, site_contains, site_is
+from cellkpi.operators.filters import (
+    dates_between,
+    default_dates,
+    in_bands,
+    in_sector,
+    site_contains,
+    site_is,
+)
 from cellkpi.operators.measures import scale_measures, with_hour_timestamp
 from cellkpi.plans.catalog import CHARTS, MEAN_KPIS
 from cellkpi.plans.export import export_rows, preview, write_csv
@@ -306,6 +313,9 @@ def queries() -> dict[str, Query]:
             "EUTRANCELLFDD", "DATE_ID", "Total_Traffic_Volume", "LTE_CSFB_SR"
         ),
         "hour_rollover": _hour_rollover,
+        "default_dates": lambda s, d: dates_between(
+            cell_hourly(s, d), *default_dates("daily")
+        ).select(VALUES),
         "report_weekly_stored_daily": lambda s, d: page_report(
             _stored_daily(s, d), "daily", "Weekly", decimals=DECIMALS
         ),
