@@ -162,16 +162,21 @@ def measured(text: Column, rules: Rules) -> Column:
 
 
 def _judged(documents: DataFrame, text: Column, rules: Rules, name: str) -> DataFrame:
-    """``documents`` with the struct ``name`` of counts and the two verdicts."""
-    counted = documents.withColumn(name, measured(text, rules))
-    m = F.col(name)
-    failed = (m["n_words"] < rules.least_words) | (
-        100 * m["n_repeat_words"] > rules.most_repeated * m["n_words"]
-    )
-    enough = 100 * m["n_kept_words"] >= rules.least_kept_words * m["n_words"]
-    return counted.withColumn(
-        name, m.withField("base_failed", failed).withField("kept", ~failed & enough)
-    )
+    """``documents`` with the struct ``name`` of counts and the two verdicts.
+
+    The struct comes out of a generator of one row, so that a condition on it is not pushed below,
+    where all of it would be computed again for each field that the condition reads.
+    """
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < rules.least_words) | (
+            100 * m["n_repeat_words"] > rules.most_repeated * m["n_words"]
+        )
+        enough = 100 * m["n_kept_words"] >= rules.least_kept_words * m["n_words"]
+        return m.withField("base_failed", failed).withField("kept", ~failed & enough)
+
+    found = F.transform(F.array(measured(text, rules)), verdict)
+    return documents.select("*", F.explode(found).alias(name))
 
 
 def quality_report(
