@@ -363,11 +363,13 @@ def repeated_spans(
 ) -> DataFrame:
     """(row, begin, end) in units of spans that repeated windows cover; spans may overlap."""
     anchors = stored(sample(docs, scheme), "anchors")
-    counts = anchors.groupBy("h").count().where("count > 1")
+    # Written first: a join whose sides are both plain shuffles is split where a gram is frequent.
+    counts = stored(anchors.groupBy("h").count().where("count > 1"), "counts")
     place = F.struct("h", "place", (F.col("count") > scheme.heavy).alias("heavy"))
     again = anchors.join(counts, "h").groupBy("row").agg(F.collect_list(place).alias("found"))
     again = stored(again, "again")
     discard(anchors)
+    discard(counts)
 
     def with_text(wanted: Callable[[Column], Column]) -> DataFrame:
         found = again.withColumn("found", F.filter("found", wanted)).where(F.size("found") > 0)
@@ -382,17 +384,21 @@ def repeated_spans(
     light = surroundings(with_text(lambda x: ~x["heavy"]), scheme)
     light = light.repartition("h").sortWithinPartitions("h").mapInArrow(spans, schema)
 
-    each = windows(with_text(lambda x: x["heavy"]), scheme)
+    light = stored(light, "spans")
+    heavy = lambda x: x["heavy"]
+    if again.where(F.exists("found", heavy)).isEmpty():
+        discard(again)
+        return light
+
+    each = stored(windows(with_text(heavy), scheme), "windows")
+    discard(again)
     first = F.min(F.struct("row", "start")).alias("first")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n"), first).where("n > 1")
-    matched = each.join(twice, ["w1", "w2"])
+    matched = each.join(stored(twice, "twice"), ["w1", "w2"])
     if keep_first:
         matched = matched.where(F.struct("row", "start") != F.col("first"))
     end = (F.col("start") + scheme.window).alias("end")
-    found = light.unionAll(matched.select("row", F.col("start").alias("begin"), end))
-    found = stored(found, "spans")
-    discard(again)
-    return found
+    return light.unionAll(matched.select("row", F.col("start").alias("begin"), end))
 
 
 def covered(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
