@@ -160,7 +160,8 @@ def _joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
 def grid_links(points: DataFrame, most_bits: int, groups: int, hot: int) -> DataFrame:
     """(fp, low): links that connect all fingerprints within ``most_bits`` of each other."""
     grid = cells(points, most_bits, groups)
-    sizes = grid.groupBy("choice", "cell").count().where("count > 1")
+    # Written first: a join whose sides are both plain shuffles is split where a cell is dense.
+    sizes = stored(grid.groupBy("choice", "cell").count().where("count > 1"), "sizes")
     shared = grid.join(sizes, ["choice", "cell"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
