@@ -26,9 +26,11 @@ from cellkpi.llm.common import let
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-SHOUT = r"!!"
+MARKS = rf"{SYMBOLS}|!!"
+SOME_MARK = r"[#*$%&|<>!]"
 SENTENCE_END = r"[.!?:;…。！？]"
-SEPARATOR_WORDS = ["|", ">", "»", "•", "·", "/", "-", "–"]
+SEPARATORS = r"[|>»•·/–-]"
+SEPARATOR_WORDS = rf"(?<![^\x20\x09-\x0D]){SEPARATORS}(?![^\x20\x09-\x0D])"
 WINDOW = 5
 
 # Phrases of legal and site boilerplate.
@@ -62,7 +64,7 @@ class Rules:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def _covered(windows: Column) -> Column:
@@ -106,25 +108,29 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, none).otherwise(counted)
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line with a word breaks a rule."""
+def judged_line(line: Column, rules: Rules) -> Column:
+    """A struct of a line, its words and whether it breaks a rule."""
 
-    def judge(words: Column) -> Column:
-        n = F.size(words)
-        marks = F.regexp_count(line, F.lit(SYMBOLS)) + F.regexp_count(line, F.lit(SHOUT))
-        bars = F.size(F.filter(words, lambda w: w.isin(SEPARATOR_WORDS)))
-        lower = F.lower(line)
-        phrase = F.lit(False)
+    def phrase(lower: Column) -> Column:
+        found = F.lit(False)
         for text in BOILERPLATE:
-            phrase = phrase | lower.contains(text)
-        return (
+            found = found | lower.contains(text)
+        return found
+
+    def judge(n: Column) -> Column:
+        # Most lines have none of these; finding that out is cheaper than counting.
+        marks = F.when(line.rlike(SOME_MARK), F.regexp_count(line, F.lit(MARKS))).otherwise(0)
+        bars = F.when(line.rlike(SEPARATORS), F.regexp_count(line, F.lit(SEPARATOR_WORDS)))
+        bars = bars.otherwise(0)
+        fails = (
             (100 * marks >= rules.line_symbols * n)
             | (100 * bars >= rules.line_separators * n)
             | ((n >= rules.unended_words) & ~line.rlike(SENTENCE_END))
-            | phrase
+            | let(F.lower(line), phrase)
         )
+        return F.struct(line.alias("line"), n.alias("n"), fails.alias("fails"))
 
-    return let(words_of(line), judge)
+    return let(F.size(words_of(line)), judge)
 
 
 def measured(text: Column, rules: Rules) -> Column:
@@ -134,9 +140,7 @@ def measured(text: Column, rules: Rules) -> Column:
 
     def counts(words: Column, lines: Column, good: Column) -> Column:
         n = long(F.size(words))
-        kept_words = F.aggregate(
-            good, F.lit(0).cast("long"), lambda total, x: total + F.size(words_of(x))
-        )
+        kept_words = F.aggregate(good, F.lit(0).cast("long"), lambda total, x: total + x["n"])
         return F.struct(
             n.alias("n_words"),
             long(F.length(F.array_join(words, ""))).alias("word_chars"),
@@ -146,14 +150,14 @@ def measured(text: Column, rules: Rules) -> Column:
             long(F.size(lines)).alias("n_lines"),
             long(F.size(lines) - F.size(good)).alias("n_failed_lines"),
             kept_words.alias("n_kept_words"),
-            F.array_join(good, "\n").alias("clean_text"),
+            F.array_join(good["line"], "\n").alias("clean_text"),
         )
 
     def with_lines(words: Column) -> Column:
         return let(
             lines,
             lambda found: let(
-                F.filter(found, lambda x: ~line_fails(x, rules)),
+                F.filter(F.transform(found, lambda x: judged_line(x, rules)), lambda x: ~x["fails"]),
                 lambda good: counts(words, found, good),
             ),
         )
