@@ -75,9 +75,10 @@ class Model:
 
 
 def lines_of(conversations: DataFrame, columns: tuple[str, str, str, str]) -> DataFrame:
-    """A row per line: conv_id, turn, role, line number, text, features, and whether it opens.
+    """A row per line: conv_id, turn, role, row_id, line number, text, features, whether it opens.
 
-    ``opens`` is true for a row's first line and for a line with a marker.
+    ``opens`` is true for a row's first line and for a line with a marker. ``row_id`` is one number
+    for all lines of an input row and no other; it holds once the lines are stored.
     """
     conv, turn, role, text = columns
     rows = conversations.select(
@@ -85,7 +86,7 @@ def lines_of(conversations: DataFrame, columns: tuple[str, str, str, str]) -> Da
         F.col(turn).alias("turn"),
         F.lower(role).alias("role"),
         F.coalesce(text, F.lit("")).alias("whole"),
-    ).withColumn("row", F.xxhash64("whole"))
+    ).withColumns({"row": F.xxhash64("whole"), "row_id": F.monotonically_increasing_id()})
     lines = rows.select(
         "*", F.posexplode(F.split("whole", "\n")).alias("line", "text")
     ).withColumn("row_size", _size(F.length("whole"))).drop("whole")
@@ -214,7 +215,9 @@ def _parts(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[tuple[pa
 
 def recover_roles(lines: DataFrame, model: Model, part_lines: int = 10_000) -> DataFrame:
     """``lines`` with ``found``, the most likely role of each."""
-    order = ["conv_id", "turn", "row", "line"]
+    # The given role only decides between rows of one text, so that ids, which depend on how the
+    # input is partitioned, change no result.
+    order = ["conv_id", "turn", "row", "role", "row_id", "line"]
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     # A part is the stretch of one transcript within one task, cut again every part_lines lines.
     place = F.monotonically_increasing_id()
@@ -260,7 +263,8 @@ def recover_roles(lines: DataFrame, model: Model, part_lines: int = 10_000) -> D
             out = table.append_column("found", pa.array(roles, pa.string()))
             yield from out.drop_columns(["before", "after"]).combine_chunks().to_batches()
 
-    columns = ["conv_id", "turn", "role", "row", "line", "text", *FEATURES, "opens", "place", "part"]
+    columns = ["conv_id", "turn", "role", "row_id", "line", "text", *FEATURES, "opens"]
+    columns += ["place", "part"]
     ready = placed.select(*columns).join(fixed, "part").select(*columns, "before", "after")
     ready = ready.repartition("part").sortWithinPartitions("part", "place")
     kinds = dict(ready.dtypes)
@@ -325,11 +329,9 @@ def render_transcripts(
     lines = stored(lines_of(conversations, columns), "observed")
     found = recover_roles(lines, model or fit(lines), part_lines)
     found = stored(found, "found")
-    # Lines of a row follow each other, and a place tells the row a line is in.
+    # A range boundary may fall inside a row, so the row's id alone tells which lines belong together.
     body = F.regexp_replace("text", MARKER, "")
-    held = found.withColumn("row_place", F.col("place") - F.col("line")).groupBy(
-        "conv_id", "turn", "role", "row_place"
-    )
+    held = found.groupBy("conv_id", "turn", "role", "row_id")
     piece = F.struct("line", "opens", "found", body.alias("body"))
     rows = held.agg(F.sort_array(F.collect_list(piece)).alias("lines"))
     turns = F.aggregate(F.col("lines"), _no_turns(), _add_line)
