@@ -36,6 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` stored with a number that no two rows share, and that column's name."""
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` returned, once nothing will read it again."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellkpi.llm.common import sized_slices, stored
+from cellkpi.llm.common import numbered, sized_slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -314,15 +314,15 @@ def redact(
 ) -> DataFrame:
     """``documents`` with every span of the text replaced by its kind, such as ``[EMAIL]``.
 
-    Needs an id without repeats; a row whose id is null has its base spans replaced only where the
-    null id is alone.
+    Each row gets its own spans, by a row number that is stored first: ``id_column`` is
+    not read, so ids may repeat or be null.
     """
-    found = find_private(documents, limits, id_column, text_column)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"))
-    found = found.where(F.size("__found") > 0)
-    joined = documents.join(found, documents[id_column].eqNullSafe(F.col("__id")), "left")
-    hidden = replace_spans(F.col(text_column), F.col("__found"))
-    text = F.when(F.col("__found").isNull(), F.col(text_column)).otherwise(hidden)
+    rows, row = numbered(documents)
+    found = find_private(rows, limits, row, text_column).where(F.size("found") > 0)
+    spans = f"{row}_found"
+    joined = rows.join(found.select(F.col("doc_id").alias(row), F.col("found").alias(spans)), row, "left")
+    hidden = replace_spans(F.col(text_column), F.col(spans))
+    text = F.when(F.col(spans).isNull(), F.col(text_column)).otherwise(hidden)
     return joined.withColumn(text_column, text).select(*documents.columns)
 
 

@@ -20,7 +20,7 @@ about 15 bits of choice, 8 give 70 of about 22, which suits billions.
 A null, empty or wordless text has the fingerprint zero, linked like any other. Rows with equal
 fingerprints are linked. Nulls among ids are passed over when the least id is sought; a component of
 null ids only has a null id. Columns besides the id and the text are ignored by ``near_duplicates``
-and kept by ``drop_near_duplicates``.
+and kept by ``drop_near_duplicates`` and ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellkpi.llm.common import grouped_chunks, sized_slices, stored
+from cellkpi.llm.common import grouped_chunks, numbered, sized_slices, stored
 from cellkpi.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -246,3 +246,24 @@ def drop_near_duplicates(
     )
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct()
     return documents.join(gone, id_column, "left_anti").select(*documents.columns)
+
+
+def one_of_each(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **limits: int
+) -> DataFrame:
+    """One row of each component, whatever its id; all columns are kept.
+
+    It is the row with the least id; nulls come last, and rows of one id in the order of their
+    texts' hashes. Only among equal ids and texts does a stored row number decide.
+    """
+    rows, row = numbered(documents)
+    key = F.struct(
+        F.col(id_column).isNull().alias("none"),
+        F.col(id_column).alias("id"),
+        F.xxhash64(text_column).alias("text"),
+        F.col(row).alias("row"),
+    )
+    keyed = rows.select(key.alias("doc_id"), F.col(text_column).alias("text"))
+    found = near_duplicates(keyed, **limits)
+    gone = found.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*documents.columns)
