@@ -5,7 +5,8 @@ the target share of each source, then of each language, then of each topic, and
 moves none by more than a tolerance. A cell's factor is its fitted share over the share it has. A
 document is kept with the calibrated chance ``min(1, scale * factor)``; kept documents of cells that
 would need more than all their documents carry the rest as ``weight``, so that weighted tokens meet
-the targets. Whether a document is kept depends on the hash of its id alone, so it repeats.
+the targets. ``repeat_mixture`` repeats such documents instead, so that plain tokens meet them too.
+Whether a document is kept depends on the hash of its id alone, so it repeats.
 
 Documents are added up to cells before anything is shuffled, and cells are joined back to documents
 by Spark's own choice: a broadcast only if their size allows, otherwise a join whose frequent cells
@@ -18,7 +19,7 @@ margin is tempered: the shares are raised to a power below one and normalised, w
 categories. A category without a target, or with target zero, is left out; targets of categories
 without tokens fall to the others. Contradicting targets end after ``rounds``. A null or empty text
 has no tokens, and a cell without tokens keeps its documents at factor 1. Rows that repeat an id, or
-have none, share a fate. ``sample_mixture`` keeps all columns; ``mixing_report`` ignores columns it
+have none, share a fate. ``sample_mixture`` and ``repeat_mixture`` keep all columns; ``mixing_report`` ignores columns it
 does not need, whatever they are called.
 """
 
@@ -121,6 +122,10 @@ def rake(cells: DataFrame, mixture: Mixture) -> DataFrame:
     return current.select(*cells.columns, factor.alias("factor"))
 
 
+def _uniform(mixture: Mixture, id_column: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(mixture.seed), id_column), 11) / float(1 << 53)
+
+
 def _drawn(
     documents: DataFrame, mixture: Mixture, topic: Column | None, id_column: str, text_column: str
 ) -> DataFrame:
@@ -138,7 +143,7 @@ def _drawn(
     marked = documents.withColumn("__cell", cell)
     joined = marked.join(fitted.withColumnRenamed("factor", "__factor"), "__cell")
     wanted = F.col("__factor") * mixture.scale
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(mixture.seed), id_column), 11) / float(1 << 53)
+    uniform = _uniform(mixture, id_column)
     chance = F.least(wanted, F.lit(1.0))
     mix = F.struct(
         *(F.col("__cell")[name].alias(name) for name in MARGINS),
@@ -169,6 +174,30 @@ def sample_mixture(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """The kept documents, with their own columns."""
+    """The kept documents, each once, with their own columns.
+
+    Cells that would need more than all their documents miss their targets by their ``weight``;
+    ``repeat_mixture`` repeats documents instead.
+    """
     drawn = _drawn(documents, mixture, topic, id_column, text_column)
     return drawn.where("__mix.kept").select(*documents.columns)
+
+
+def repeat_mixture(
+    documents: DataFrame,
+    mixture: Mixture = Mixture(),
+    topic: Column | None = None,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """The documents, each as often as its cell needs, with their own columns.
+
+    ``scale * factor`` is the expected number of copies: the whole part of it are certain, one more
+    is drawn with the rest as its chance. So the expected tokens of every cell are the fitted ones.
+    """
+    drawn = _drawn(documents, mixture, topic, id_column, text_column)
+    wanted = F.col("__factor") * mixture.scale
+    more = (_uniform(mixture, id_column) < wanted - F.floor(wanted)).cast("int")
+    copies = F.floor(wanted).cast("int") + more
+    each = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))
+    return drawn.select(F.struct(*documents.columns).alias("doc"), each).select("doc.*")
