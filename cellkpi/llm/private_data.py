@@ -2,10 +2,11 @@
 
 Base spans (emails, addresses, cards, phones) come from fixed grammars. They are the seeds: the
 words just before a seed form its lexical context. All identifier-like words of the corpus, seeds or
-not, form a graph of contexts and instances, which Spark scores in rounds. A context's confidence is
-the share of its instances' weight that is trusted for one kind; an instance is as trusted as its
-best contexts together make it. Contexts above a confidence and support then mark unseen
-identifiers after them. Only counts per (context, instance) are shuffled, never texts; tables of a
+not, form a graph of contexts and instances, which Spark scores in rounds. A context belongs to one
+class of instances (with letters, dotted, long or short numbers). Its confidence is the share of its
+instances' weight that is trusted for one kind. A seed is trusted; another instance is as trusted as
+the accepted contexts other than this one together make it, so no context lends itself trust.
+Contexts above a confidence and support are accepted, and mark unseen identifiers after them. Only counts per (context, instance) are shuffled, never texts; tables of a
 round are written to the shared scratch folder.
 
 A null text is empty and an empty one has no spans. Repeated rows count as evidence each and give
@@ -38,6 +39,9 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
+# A number of so many digits may be a phone or a card; years, prices and the like are shorter.
+LONG_NUMBER = 9
+
 # An identifier-like word: four characters or more with a digit or an at sign, less the
 # punctuation around it.
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,6 +132,17 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
+def form(instance: Column) -> Column:
+    """The class of identifiers that are comparable: a context of one says nothing of another."""
+    numbers = F.regexp_count(instance, F.lit("[0-9]"))
+    return (
+        F.when(instance.rlike(r"[\p{L}@]"), "word")
+        .when(instance.rlike(r"[0-9]\.[0-9]+\.[0-9]"), "dotted")
+        .when(numbers >= LONG_NUMBER, "long")
+        .otherwise("short")
+    )
+
+
 def _context(text: str, before: int, words: int) -> str:
     """The lower-cased words before a place on the same line, at most ``words``, less edge marks."""
     left = text[max(0, before - 40 * words) : before]
@@ -221,39 +236,40 @@ def scan(documents: DataFrame, limits: Bootstrap) -> DataFrame:
 
 
 def learn_contexts(scanned: DataFrame, limits: Bootstrap) -> DataFrame:
-    """The trusted contexts: (context, shape, kind), from rounds over the context-instance graph.
+    """The trusted contexts: (context, form, kind), from rounds over the context-instance graph.
 
-    The instance's shape is part of its context, so that a context found by addresses does not mark
-    prices.
+    The instance's form is part of its context, so that a context found by phones does not mark
+    years. In the first round only seeds are trusted; later ones add what accepted contexts mark,
+    each context scored without its own share in that.
     """
     places = scanned.select(F.explode("places").alias("p")).select("p.*").where("context <> ''")
     known = F.max("kind").alias("seed")
-    edges = places.groupBy("context", "shape", "instance").agg(F.count("*").alias("n"), known)
+    edges = places.groupBy("context", form(F.col("instance")).alias("form"), "instance").agg(known)
     edges = stored(edges, "edges")
-    # Only contexts that some seed has can gain trust; the shape may be another.
-    by_kind = edges.where("seed is not null").groupBy("context", "seed")
+    # Only contexts that some seed has can gain trust.
+    by_kind = edges.where("seed is not null").groupBy("context", "form", "seed")
     seeded = by_kind.agg(F.count("*").alias("seeds")).where(F.col("seeds") >= limits.seeds)
-    seeded = seeded.withColumnRenamed("seed", "kind")
-    graph = stored(edges.join(seeded, "context").drop("n"), "graph")
-    trust = graph.select("instance", "kind", (F.col("seed") == F.col("kind")).alias("is_seed"))
-    trust = trust.groupBy("instance", "kind").agg(
-        F.max(F.when(F.col("is_seed"), 1.0).otherwise(0.0)).alias("trust")
-    )
-    contexts = None
+    seeded = seeded.withColumnRenamed("seed", "kind").drop("seeds")
+    graph = stored(edges.join(seeded, ["context", "form"]), "graph")
+    is_seed = F.col("seed") == F.col("kind")
+    good = (F.col("confidence") >= limits.confidence) & (F.col("support") >= limits.support)
+    accepted = None
     for _ in range(limits.rounds):
-        scored = graph.join(trust, ["instance", "kind"])
-        contexts = scored.groupBy("context", "kind").agg(
-            (F.sum("trust") / F.count("*")).alias("confidence"), F.count("*").alias("support")
+        # Logarithm of the doubt that an accepted context leaves; zero for all others.
+        doubted = graph.withColumn("doubt", F.lit(0.0))
+        if accepted is not None:
+            doubt = F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))
+            lent = accepted.select("context", "form", "kind", doubt.alias("doubt"))
+            doubted = graph.join(lent, ["context", "form", "kind"], "left").fillna(0.0, ["doubt"])
+        sums = doubted.groupBy("instance", "kind").agg(
+            F.sum("doubt").alias("all_doubt"), F.max(F.coalesce(is_seed, F.lit(False))).alias("sure")
         )
-        contexts = stored(contexts, "contexts")
-        # An instance is trusted by its contexts together: 1 - product of (1 - confidence).
-        doubt = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))
-        spread = graph.join(contexts, ["context", "kind"]).groupBy("instance", "kind")
-        seed = F.max(F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0))
-        trust = spread.agg(F.greatest(seed, 1 - F.exp(doubt)).alias("trust"))
-        trust = stored(trust, "trust")
-    good = (F.col("confidence") >= limits.confidence) & (F.col("support") >= limits.support)
-    return contexts.where(good).select("context", "kind")
+        others = F.greatest(F.lit(0.0), 1 - F.exp(F.col("all_doubt") - F.col("doubt")))
+        trust = F.when(F.col("sure"), 1.0).otherwise(others)
+        scored = doubted.join(sums, ["instance", "kind"]).groupBy("context", "form", "kind")
+        contexts = scored.agg(F.avg(trust).alias("confidence"), F.count("*").alias("support"))
+        accepted = stored(contexts.where(good), "contexts")
+    return accepted.select("context", "form", "kind")
 
 
 def find_private(
@@ -273,7 +289,7 @@ def find_private(
     contexts = learn_contexts(scanned, limits)
     loose = scanned.select("row", F.explode("places").alias("p")).select("row", "p.*")
     loose = loose.where("kind is null and context <> ''").drop("kind")
-    marked = loose.join(contexts, "context")
+    marked = loose.withColumn("form", form(F.col("instance"))).join(contexts, ["context", "form"])
     # A place that contexts of two kinds mark gets the first kind as listed.
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     once = marked.groupBy("row", "begin", "end").agg(F.min_by("kind", order).alias("kind"))
