@@ -29,6 +29,8 @@ SYMBOLS = r"[#*$%&|<>]"
 MARKS = rf"{SYMBOLS}|!!"
 SOME_MARK = r"[#*$%&|<>!]"
 SENTENCE_END = r"[.!?:;…。！？]"
+# The same with the danda and the marks of Arabic, Urdu, Armenian, Ethiopic, Khmer, Burmese, Tibetan.
+ANY_SENTENCE_END = SENTENCE_END[:-1] + "।॥؟۔؛։՞՜።፧፨។៕။།༎｡．：；]"
 SEPARATORS = r"[|>»•·/–-]"
 SEPARATOR_WORDS = rf"(?<![^\x20\x09-\x0D]){SEPARATORS}(?![^\x20\x09-\x0D])"
 WINDOW = 5
@@ -53,7 +55,11 @@ BOILERPLATE = [
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules; the shares are in percent, as whole numbers."""
+    """Limits of the rules; the shares are in percent, as whole numbers.
+
+    ``phrase_chars``: longer lines are no boilerplate, whatever they say; none means no limit.
+    ``sentence_end`` is a pattern.
+    """
 
     least_words: int = 10
     most_repeated: int = 20
@@ -61,6 +67,12 @@ class Rules:
     line_separators: int = 33
     unended_words: int = 6
     least_kept_words: int = 50
+    phrase_chars: int | None = None
+    sentence_end: str = SENTENCE_END
+
+
+# Rules for text that may be one long line, or of any script. The query op1 keeps those of its SQL.
+WIDE = Rules(phrase_chars=200, sentence_end=ANY_SENTENCE_END)
 
 
 def words_of(text: Column) -> Column:
@@ -122,11 +134,14 @@ def judged_line(line: Column, rules: Rules) -> Column:
         marks = F.when(line.rlike(SOME_MARK), F.regexp_count(line, F.lit(MARKS))).otherwise(0)
         bars = F.when(line.rlike(SEPARATORS), F.regexp_count(line, F.lit(SEPARATOR_WORDS)))
         bars = bars.otherwise(0)
+        short = F.lit(True)
+        if rules.phrase_chars is not None:
+            short = F.length(line) <= rules.phrase_chars
         fails = (
             (100 * marks >= rules.line_symbols * n)
             | (100 * bars >= rules.line_separators * n)
-            | ((n >= rules.unended_words) & ~line.rlike(SENTENCE_END))
-            | let(F.lower(line), phrase)
+            | ((n >= rules.unended_words) & ~line.rlike(rules.sentence_end))
+            | (short & let(F.lower(line), phrase))
         )
         return F.struct(line.alias("line"), n.alias("n"), fails.alias("fails"))
 
