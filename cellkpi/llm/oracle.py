@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from cellkpi.llm.license_rules import BASE_WEIGHT, SPAN, WEIGHTS
+from cellkpi.llm.license_scan import RULES
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 LINE_QUALITY = rf"""
@@ -111,9 +114,96 @@ FROM d LEFT JOIN parts ON parts.doc_id = d.doc_id
 """
 
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id AS id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+scores AS (
+  SELECT a.r AS anchor, a.id AS anchor_id, b.r AS other, b.id, a.label = b.label AS same,
+    list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r
+  WHERE a.id % 100 = 0
+),
+positives AS (
+  SELECT anchor, anchor_id, id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, other) AS slot
+  FROM scores WHERE same
+  QUALIFY slot <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  row_number() OVER (PARTITION BY p.anchor, p.slot ORDER BY s.score DESC, s.id, s.other)::INTEGER
+    AS rank,
+  s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor = p.anchor AND NOT s.same
+WHERE 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+_RULES = ", ".join(
+    f"({i}, '{r.label}', {r.level}, '{r.keyword}', '^({r.pattern})(?: |$)', "
+    f"{WEIGHTS.get(r.level, BASE_WEIGHT)}::DOUBLE)"
+    for i, r in enumerate(RULES)
+)
+
+LICENSES = rf"""
+WITH rules(rule, label, level, keyword, pattern, weight) AS (VALUES {_RULES}),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+word AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i, words FROM docs),
+ahead AS (
+  SELECT r, word, i - 1 AS start, array_to_string(words[i : i + {SPAN - 1}], ' ') AS said
+  FROM word WHERE word IN (SELECT keyword FROM rules)
+),
+matched AS (
+  SELECT r, rule, label, level, weight, start, regexp_extract(said, pattern, 1) AS text
+  FROM ahead JOIN rules ON keyword = word
+),
+places AS (
+  SELECT r, rule, label, level, weight, start, start + len(string_split(text, ' ')) AS stop
+  FROM matched WHERE text <> ''
+),
+outermost AS (
+  SELECT * FROM places p WHERE level > 0 AND NOT EXISTS (
+    SELECT 1 FROM places q
+    WHERE q.r = p.r AND q.level >= p.level AND q.start <= p.start AND q.stop >= p.stop
+      AND (q.start < p.start OR q.stop > p.stop OR q.level > p.level
+        OR (q.level = p.level AND q.rule < p.rule)))
+),
+kept AS (
+  SELECT * FROM outermost p WHERE NOT EXISTS (
+    SELECT 1 FROM outermost q
+    WHERE q.r = p.r AND q.level > p.level AND q.start < p.stop AND q.stop > p.start)
+  UNION ALL SELECT * FROM places WHERE level = 0
+),
+marks AS (
+  SELECT r, count(*) FILTER (level = 0) AS n_base, min(start) FILTER (level = 0) AS first_word,
+    max(start) FILTER (level = 0) AS last_word, max(weight) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (level = 0) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM kept GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+  first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0)::DOUBLE AS score
+FROM docs LEFT JOIN marks USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_quality": LINE_QUALITY,
         "op9_phrase_dedup": PHRASE_DEDUP,
         "op10_byte_dedup": BYTE_DEDUP,
+        "op12_hard_negatives": HARD_NEGATIVES,
+        "op13_license_scan": LICENSES,
     }

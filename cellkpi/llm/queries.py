@@ -10,6 +10,8 @@ import corpus_pipeline
 from cellkpi.llm.byte_dedup import remove_repeated_bytes
 from cellkpi.llm.byte_pairs import encode_decode
 from cellkpi.llm.common import table
+from cellkpi.llm.hard_negatives import hard_negative_query
+from cellkpi.llm.license_scan import license_query
 from cellkpi.llm.line_quality import quality_report
 from cellkpi.llm.mixture import mixing_report
 from cellkpi.llm.neighbours import neighbours_query
@@ -19,6 +21,7 @@ from cellkpi.llm.private_data import find_private
 from cellkpi.llm.simhash_dedup import near_duplicates
 from cellkpi.llm.token_counts import count_tokens
 from cellkpi.llm.transcripts import render_transcripts
+from cellkpi.llm.whitening import whitening_query
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -38,4 +41,7 @@ def queries() -> dict[str, Query]:
         "op9_phrase_dedup": lambda s, d: remove_repeated_phrases(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
         "op10_byte_dedup": lambda s, d: remove_repeated_bytes(table(s, d, "documents")),
+        "op11_whitening": lambda s, d: whitening_query(table(s, d, "embeddings")),
+        "op12_hard_negatives": lambda s, d: hard_negative_query(table(s, d, "embeddings")),
+        "op13_license_scan": lambda s, d: license_query(table(s, d, "documents")),
     }
