@@ -70,7 +70,9 @@ def _found(said: Column) -> Column:
             rules = F.element_at(_rules_by_keyword(), F.get(said, place))
             return F.filter(F.transform(rules, matched), lambda x: x.stop.isNotNull())
 
-        return let(F.array_join(F.slice(said, place + 1, SPAN), " "), held)
+        # Single items, as slice() copies the whole array; items past the end are null and left out.
+        ahead = F.array(*(F.get(said, place + k) for k in range(SPAN)))
+        return let(F.array_join(ahead, " "), held)
 
     marked = F.transform(said, lambda w, i: F.when(w.isin(keywords), i))
     places = F.filter(marked, lambda i: i.isNotNull())
@@ -95,9 +97,10 @@ def scan(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def resolved(places: DataFrame) -> DataFrame:
     """Intervals (row, rule, start, stop, level) that neither containment nor priority removes."""
     order = [F.col("start"), F.desc("stop"), F.desc("level"), F.col("rule")]
-    by_place = Window.partitionBy("row").orderBy(*order)
-    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_place.rowsBetween(1, Window.unboundedFollowing)
+    back = [F.desc("start"), F.col("stop"), F.col("level"), F.desc("rule")]
+    by_row, earlier = Window.partitionBy("row"), (Window.unboundedPreceding, -1)
+    before = by_row.orderBy(*order).rowsBetween(*earlier)
+    after = by_row.orderBy(*back).rowsBetween(*earlier)  # frames that look ahead cost pairs
     levels = sorted(WEIGHTS)
 
     def reach(least: int) -> Column:
