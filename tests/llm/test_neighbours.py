@@ -54,6 +54,22 @@ def test_exact_where_every_axis_is_probed(spark):
     assert got == brute(ids, vectors.tolist(), ids[::3])
 
 
+@pytest.mark.parametrize("size", [64, 384, 768])
+def test_recall_and_no_short_answers_at_any_size(spark, size):
+    rng = np.random.default_rng(size)
+    for n in (4, 6, 20, 1000):
+        vectors = rng.normal(size=(n, size)).round(3).tolist()
+        df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+        step = 1 if n < 100 else 50
+        got = found(nn.nearest_neighbours(df, F.col("id") % step == 0).collect())
+        expected = brute(list(range(n)), vectors, range(0, n, step))
+        assert {q: len(x) for q, x in got.items()} == {q: min(5, n - 1) for q in expected}
+        hits = sum(len(set(got[q]) & set(expected[q])) for q in expected)
+        assert hits >= 0.9 * sum(map(len, expected.values())), (n, hits)
+        if n <= 6:
+            assert got == expected
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [1.0, 0.0]),
