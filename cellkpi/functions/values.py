@@ -4,8 +4,10 @@ Sums of doubles depend on the order in which tasks deliver them. Where the count
 carry at most ``decimals`` decimal places, the aggregates here can add whole units of that size
 instead: exact, the same after any retry or repartitioning, and about as cheap as a double sum. A
 value with more places, a value too large for exact units and a sum too large for a long all raise
-an error, whether the session is in ANSI mode or not. Infinite values and NaN have no units; exact
-sums and means skip them like missing values. Without ``decimals`` they are Spark's own.
+an error, whether the session is in ANSI mode or not. Only what binary rounding does to a decimal
+number passes: two units in the last place of the double, or of the ``magnitude`` of the numbers that
+it was computed from. Infinite values and NaN have no units; exact sums and means skip them like
+missing values. Without ``decimals`` they are Spark's own.
 """
 
 from __future__ import annotations
@@ -42,56 +44,90 @@ def to_date(
     return F.when(parsed.isNull() & text.isNotNull(), complaint).otherwise(parsed)
 
 
-# Whole doubles up to here are exact. Binary rounding may leave a value this far off its units.
+# Whole doubles up to here are exact. Binary rounding of a value, and of one step of arithmetic on it.
 LARGEST_UNITS = float(1 << 53)
-ROUNDING = 1e-4
+ROUNDING = 2.0**-51
+NO_UNITS = -(1 << 63)  # stands for a value that is no whole number of units
 
 
-def to_units(value: Column, decimals: int) -> Column:
-    """The value as a whole number of 10^-decimals; NULL if it is missing, NaN or infinite."""
-    scaled = value * F.lit(float(10**decimals))
-    units = F.rint(scaled)
-    finite = (F.abs(value) < F.lit(float("inf"))) & ~F.isnan(value)
-    fits = F.abs(scaled) < F.lit(LARGEST_UNITS)
-    near = F.abs(scaled - units) <= F.lit(ROUNDING) + F.abs(units) * F.lit(2.0**-50)
-    complaint = F.raise_error(
-        F.concat(F.lit(f"no exact multiple of 1e-{decimals}: "), value.cast("string"))
-    ).cast("bigint")
-    return F.when(finite, F.when(fits & near, units.cast("bigint")).otherwise(complaint))
+def checked_units(value: Column, decimals: int, magnitude: float = 0.0) -> Column:
+    """The value as a whole number of 10^-decimals, ``NO_UNITS`` if it is none.
 
+    NULL if it is missing, NaN or infinite. No branch raises here: aggregates carry the least units and
+    raise once per group, so that this stays a few instructions per value.
+    """
+    scale = F.lit(float(10**decimals))
+    units = F.rint(value * scale)
+    slack = F.abs(value) * F.lit(ROUNDING)
+    if magnitude:
+        slack = slack + F.lit(ROUNDING * magnitude)
+    whole = (F.abs(units) < F.lit(LARGEST_UNITS)) & (F.abs(units / scale - value) <= slack)
+    finite = F.abs(value) < F.lit(float("inf"))
+    return F.when(whole, units.cast("bigint")).when(finite, F.lit(NO_UNITS).cast("bigint"))
+
+
+def _complaint(decimals: int) -> Column:
+    return F.raise_error(F.lit(f"a value is no exact multiple of 1e-{decimals}")).cast("bigint")
+
+
+def to_units(value: Column, decimals: int, magnitude: float = 0.0) -> Column:
+    """``checked_units`` of single values: raises where there are none."""
+    units = checked_units(value, decimals, magnitude)
+    return F.when(units == F.lit(NO_UNITS), _complaint(decimals)).otherwise(units)
 
-def sum_units(units: Column) -> Column:
-    """The sum of units; raises an error if it does not fit, in any mode."""
+
+def sum_units(units: Column, decimals: int = 0) -> Column:
+    """The sum of checked units; raises an error if one is none or the sum does not fit, in any mode."""
     added = F.try_sum(units)
     complaint = F.raise_error(F.lit("an exact sum is too large")).cast("bigint")
-    return F.when(added.isNull() & (F.count(units) > 0), complaint).otherwise(added)
+    return (
+        F.when(F.min(units) == F.lit(NO_UNITS), _complaint(decimals))
+        .when(added.isNull() & (F.count(units) > 0), complaint)
+        .otherwise(added)
+    )
 
 
 def from_units(units: Column, decimals: int) -> Column:
     return units.cast("double") / F.lit(float(10**decimals))
 
 
-def total(value: Column, decimals: int | None = None) -> Column:
-    if decimals is None:
-        return F.sum(value)
-    return from_units(sum_units(to_units(value, decimals)), decimals)
+def total(value: Column) -> Column:
+    return F.sum(value)
 
 
-def mean(value: Column, decimals: int | None = None) -> Column:
-    if decimals is None:
-        return F.avg(value)
-    units = to_units(value, decimals)
-    return F.try_divide(from_units(sum_units(units), decimals), F.count(units).cast("double"))
+def mean(value: Column) -> Column:
+    return F.avg(value)
 
 
-AGGREGATES: dict[str, Callable[[Column, int | None], Column]] = {"sum": total, "mean": mean}
+def exact_total(units: Column, decimals: int) -> Column:
+    return from_units(sum_units(units, decimals), decimals)
 
 
-def aggregate(name: str, value: Column, decimals: int | None = None) -> Column:
-    """The aggregate called ``name``; missing values are skipped, none at all gives NULL."""
+def exact_mean(units: Column, decimals: int) -> Column:
+    return F.try_divide(exact_total(units, decimals), F.count(units).cast("double"))
+
+
+AGGREGATES: dict[str, tuple[Callable, Callable]] = {
+    "sum": (total, exact_total),
+    "mean": (mean, exact_mean),
+}
+
+
+def _known(name: str) -> tuple[Callable, Callable]:
     if name not in AGGREGATES:
         raise ValueError(f"unknown aggregation {name!r}, expected one of {list(AGGREGATES)}")
-    return AGGREGATES[name](value, decimals)
+    return AGGREGATES[name]
+
+
+def aggregate(name: str, value: Column, decimals: int | None = None) -> Column:
+    """The aggregate called ``name``; missing values are skipped, none at all gives NULL."""
+    plain, exact = _known(name)
+    return plain(value) if decimals is None else exact(checked_units(value, decimals), decimals)
+
+
+def aggregate_units(name: str, units: Column, decimals: int) -> Column:
+    """The aggregate called ``name`` of a column of ``checked_units``."""
+    return _known(name)[1](units, decimals)
 
 
 def page_title(period: Column, site: Column) -> Column:

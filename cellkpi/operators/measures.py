@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellkpi.functions.buckets import hour_timestamp
+from cellkpi.functions.values import checked_units
 
 # The volumes that daily pages divide, by how much, and the success rate that is
 # shown as a failure rate.
 VOLUMES = ["Downlink_Traffic_Volume", "Uplink_Traffic_Volume", "Total_Traffic_Volume"]
 VOLUME_SCALE = {"daily": 1000, "hourly": 1}
 COMPLEMENTED = "LTE_CSFB_SR"
+# What a counter was taken from, where that is larger than the counter: its rounding is of that size.
+MAGNITUDES = {COMPLEMENTED: 100.0}
 
 
 def scale_measures(df: DataFrame, grain: str) -> DataFrame:
@@ -31,3 +36,9 @@ def with_hour_timestamp(df: DataFrame) -> DataFrame:
     """``DATE_ID`` and ``HOUR_ID`` merged into a timestamp called ``DATE_ID``."""
     moment = hour_timestamp(F.col("DATE_ID"), F.col("HOUR_ID"))
     return df.withColumn("DATE_ID", moment).drop("HOUR_ID")
+
+
+def in_units(df: DataFrame, kpis: Iterable[str], decimals: int, keep: list[str]) -> DataFrame:
+    """``keep`` and the counters as checked units, each computed once however often it is used."""
+    units = [checked_units(F.col(k), decimals, MAGNITUDES.get(k, 0.0)).alias(k) for k in kpis]
+    return df.select(*keep, *units)

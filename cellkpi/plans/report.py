@@ -8,19 +8,22 @@ from one column per KPI into one row per chart after that, when no shuffle follo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellkpi.functions.cells import CELL, SECTORS
 from cellkpi.functions.values import (
     AGGREGATES,
     aggregate,
+    aggregate_units,
     from_units,
     page_title,
     sum_units,
-    to_units,
 )
 from cellkpi.operators.axes import ALL_SECTORS, first_bucket, first_times, stack
+from cellkpi.operators.measures import in_units
 from cellkpi.operators.rollups import with_bucket
 from cellkpi.plans.catalog import (
     BAND_SERIES,
@@ -35,18 +38,67 @@ from cellkpi.plans.page import check_period, page_rows
 SERIES_KEYS = ["site", "bucket", "series_key", "sector", "series"]
 
 
-def _cell_values(rows: DataFrame, charts: list[Chart], decimals: int | None) -> DataFrame:
+@dataclass(frozen=True)
+class Source:
+    """What the rows of a report hold: counters, or ``partials``, their sums and counts."""
+
+    decimals: int | None = None
+    partials: bool = False
+
+
+
+SUM, COUNT = "sum_{}", "count_{}"  # columns of a counter's parts
+
+
+def _aggregated(rows: DataFrame, keys: list[str], charts: list[Chart], source: Source) -> DataFrame:
+    """The charts' values by ``keys``, one column per aggregated KPI."""
+    wanted = list(dict.fromkeys((c.agg, c.kpi) for c in charts))
+    decimals = source.decimals
+    if source.partials:
+        values = [_of_parts(agg, kpi, decimals) for agg, kpi in wanted]
+    elif decimals is None:
+        values = [aggregate(agg, F.col(kpi)) for agg, kpi in wanted]
+    else:
+        rows = in_units(rows, dict.fromkeys(k for _, k in wanted), decimals, keys)
+        values = [aggregate_units(agg, F.col(kpi), decimals) for agg, kpi in wanted]
+    named = [v.alias(f"{agg}_{kpi}") for v, (agg, kpi) in zip(values, wanted, strict=True)]
+    return rows.groupBy(*keys).agg(*named)
+
+
+def _of_parts(agg: str, kpi: str, decimals: int | None) -> Column:
+    """A sum or mean from columns of sums (in units, with ``decimals``) and counts."""
+    total = F.sum(SUM.format(kpi))
+    if decimals is not None:
+        total = from_units(sum_units(F.col(SUM.format(kpi)), decimals), decimals)
+    if agg == "sum":
+        return total
+    return F.try_divide(total, F.sum(COUNT.format(kpi)).cast("double"))
+
+
+def _parts(rows: DataFrame, keys: list[str], kpis: list[str], source: Source) -> DataFrame:
+    """Sums and counts by ``keys`` that still add up: sums stay in units, counts apart."""
+    decimals = source.decimals
+    parts = []
+    if not source.partials and decimals is not None:
+        rows = in_units(rows, kpis, decimals, keys)
+    for kpi in kpis:
+        value = F.col(SUM.format(kpi) if source.partials else kpi)
+        total = F.sum(value) if decimals is None else sum_units(value, decimals)
+        count = F.sum(COUNT.format(kpi)) if source.partials else F.count(value)
+        parts += [total.alias(SUM.format(kpi)), count.alias(COUNT.format(kpi))]
+    return rows.groupBy(*keys).agg(*parts)
+
+
+def _cell_values(rows: DataFrame, charts: list[Chart], source: Source) -> DataFrame:
     """One row per site, bucket and cell of a charted sector, one column per aggregated KPI."""
-    wanted = dict.fromkeys((c.agg, c.kpi) for c in charts)
-    values = [aggregate(a, F.col(k), decimals).alias(f"{a}_{k}") for a, k in wanted]
     charted = rows.where(F.col("Sector").isin(sorted({c.sector for c in charts})))
-    per_cell = charted.groupBy("site", "bucket", "Sector", CELL).agg(*values)
+    per_cell = _aggregated(charted, ["site", "bucket", "Sector", CELL], charts, source)
     return per_cell.withColumnsRenamed({"Sector": "sector", CELL: "series"}).withColumn(
         "series_key", F.lit(CELL_SERIES)
     )
 
 
-def _band_values(rows: DataFrame, charts: list[Chart], decimals: int | None) -> DataFrame:
+def _band_values(rows: DataFrame, charts: list[Chart], source: Source) -> DataFrame:
     """One row per site, bucket and band of a sector, band of the site, and site."""
     wanted = dict.fromkeys((c.agg, c.kpi) for c in charts)
     kinds = {(c.series_key, c.sector == ALL_SECTORS) for c in charts}
@@ -59,24 +111,9 @@ def _band_values(rows: DataFrame, charts: list[Chart], decimals: int | None) ->
     if unknown:
         raise ValueError(f"charts with unsupported series: {sorted(unknown)}")
 
-    # Parts that still add up: sums stay in units and means keep their sum and count apart.
-    parts = {}
-    for _, kpi in wanted:
-        value = F.col(kpi) if decimals is None else to_units(F.col(kpi), decimals)
-        parts[f"total_{kpi}"] = F.sum(value) if decimals is None else sum_units(value)
-        parts[f"count_{kpi}"] = F.count(value)
-    finest = rows.groupBy("site", "bucket", "Sector", "Band").agg(
-        *[part.alias(name) for name, part in parts.items()]
-    )
-
-    finished = []
-    for agg, kpi in wanted:
-        total = F.sum(f"total_{kpi}")
-        if decimals is not None:
-            total = from_units(sum_units(F.col(f"total_{kpi}")), decimals)
-        count = F.sum(f"count_{kpi}").cast("double")
-        value = total if agg == "sum" else F.try_divide(total, count)
-        finished.append(value.alias(f"{agg}_{kpi}"))
+    kpis = list(dict.fromkeys(kpi for _, kpi in wanted))
+    finest = _parts(rows, ["site", "bucket", "Sector", "Band"], kpis, source)
+    finished = [_of_parts(a, k, source.decimals).alias(f"{a}_{k}") for a, k in wanted]
     return (
         finest.groupingSets(
             [sets[k] for k in sets if k in kinds], "site", "bucket", "Sector", "Band"
@@ -115,7 +152,7 @@ def _chart_rows(
 
 
 def _report(
-    rows: DataFrame, period: str, charts: list[Chart], decimals: int | None, stacked: bool = False
+    rows: DataFrame, period: str, charts: list[Chart], source: Source, stacked: bool = False
 ) -> DataFrame:
     unknown = {c.agg for c in charts} - set(AGGREGATES)
     if unknown or not charts:
@@ -126,8 +163,8 @@ def _report(
     parts = []
     for group, values_of in ((by_cell, _cell_values), (by_band, _band_values)):
         if group:
-            values = values_of(timed, group, decimals)
-            parts.append(_chart_rows(values, group, decimals, stacked))
+            values = values_of(timed, group, source)
+            parts.append(_chart_rows(values, group, source.decimals, stacked))
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     value = F.col("value")
@@ -164,7 +201,7 @@ def report(
     chart starts is in ``chart_axes``, once per chart. Nothing is joined by site or shuffled by
     it alone.
     """
-    return _report(rows, period, charts, decimals)
+    return _report(rows, period, charts, Source(decimals))
 
 
 def page_report(
@@ -206,7 +243,7 @@ def stacked_areas(
 ) -> DataFrame:
     """The series of the area charts with the height at which each one ends in the stack."""
     areas = [c for c in charts if c.shape == "area"]
-    return _report(rows, period, areas, decimals, stacked=True)
+    return _report(rows, period, areas, Source(decimals), stacked=True)
 
 
 def out_of_range(

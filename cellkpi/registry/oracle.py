@@ -132,7 +132,7 @@ WHOLE = f"""SELECT AREA, DATE_ID, ERBS, EUTRANCELLFDD,
   FLOOR(COLUMNS(* EXCLUDE (AREA, DATE_ID, ERBS, EUTRANCELLFDD, {", ".join(VOLUMES)})))
 FROM ({DAILY})"""
 QUOTED = """SELECT CASE WHEN doc_id % 5 = 0 THEN 'NA'
-    ELSE ' say "x", y: ' || SUBSTR(text, 1, 600) || CHR(10) || '"end" ' END AS AREA,
+    ELSE ' say "x", y: ' || text || CHR(10) || '"end" ' END AS AREA,
   DATE '2023-07-01' AS DATE_ID, source AS ERBS,
   'SAA007ML' || CAST(doc_id % 8 AS VARCHAR) AS EUTRANCELLFDD, CAST(doc_id AS DOUBLE) AS SE_2
 FROM documents"""

@@ -174,7 +174,7 @@ def quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as an extract of text columns, with quotes, commas, line breaks and gaps."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     area = F.when(F.col("doc_id") % 5 == 0, "NA").otherwise(
-        F.concat(F.lit(' say "x", y: '), F.substring("text", 1, 600), F.lit('\n"end" '))
+        F.concat(F.lit(' say "x", y: '), F.col("text"), F.lit('\n"end" '))
     )
     return docs.select(
         area.alias("AREA"),

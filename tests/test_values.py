@@ -106,7 +106,9 @@ def exact(spark, values, how="sum", decimals=6):
     return df.agg(aggregate(how, F.col("v"), decimals).alias("s")).first().s
 
 
-@pytest.mark.parametrize("values", [[1e-7] * 10, [0.5, 1e13], [9e15], [-1e300]])
+@pytest.mark.parametrize(
+    "values", [[1e-7] * 10, [0.5, 1e13], [9e15], [-1e300], [5e-11], [1.00000000005], [1.0, 1e-15]]
+)
 def test_values_without_exact_units_raise(spark, any_mode, values):
     with pytest.raises(Exception, match="no exact multiple"):
         exact(spark, values)
@@ -125,6 +127,16 @@ def test_exact_sums_skip_what_is_not_finite(spark, any_mode):
     assert exact(spark, odd) is None and exact(spark, odd, "mean") is None
 
 
+def test_units_survive_a_complement(spark):
+    from cellkpi.operators.measures import COMPLEMENTED, in_units
+
+    values = [n / 100 for n in range(9901, 10001)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rate = df.select((F.lit(100) - F.col("x")).alias(COMPLEMENTED))
+    units = in_units(rate, [COMPLEMENTED], 6, []).collect()
+    assert [r[0] for r in units] == [10_000 * (10_000 - n) for n in range(9901, 10001)]
+
+
 def test_units_survive_a_change_of_unit(spark):
     values = [n / 100 / 1000 for n in range(1, 3000, 7)]
     assert exact(spark, values) == sum(range(1, 3000, 7)) / 1e5
