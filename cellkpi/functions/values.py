@@ -47,13 +47,14 @@ def to_date(
 # Whole doubles up to here are exact. Binary rounding of a value, and of one step of arithmetic on it.
 LARGEST_UNITS = float(1 << 53)
 ROUNDING = 2.0**-51
-NO_UNITS = -(1 << 63)  # stands for a value that is no whole number of units
+NO_UNITS = 1 << 53  # stands for a value that is no whole number of units
+PART = 24  # bits of the lower part of units; parts of any number of rows add up within a long
 
 
 def checked_units(value: Column, decimals: int, magnitude: float = 0.0) -> Column:
     """The value as a whole number of 10^-decimals, ``NO_UNITS`` if it is none.
 
-    NULL if it is missing, NaN or infinite. No branch raises here: aggregates carry the least units and
+    NULL if it is missing, NaN or infinite. No branch raises here: aggregates carry the largest units and
     raise once per group, so that this stays a few instructions per value.
     """
     scale = F.lit(float(10**decimals))
@@ -76,15 +77,22 @@ def to_units(value: Column, decimals: int, magnitude: float = 0.0) -> Column:
     return F.when(units == F.lit(NO_UNITS), _complaint(decimals)).otherwise(units)
 
 
-def sum_units(units: Column, decimals: int = 0) -> Column:
-    """The sum of checked units; raises an error if one is none or the sum does not fit, in any mode."""
-    added = F.try_sum(units)
+def sum_units(units: Column, decimals: int = 0, *, single: bool = True) -> Column:
+    """The sum of checked units; raises an error if one is none or the sum does not fit, in any mode.
+
+    Upper and lower bits are added apart by plain sums, which is cheaper than a sum that checks every
+    addition. ``single``: the units are those of single values, not sums that are checked already.
+    """
+    upper = F.sum(F.shiftright(units, PART))
+    lower = F.sum(units.bitwiseAND(F.lit((1 << PART) - 1)))
+    carried = upper + F.shiftright(lower, PART)
+    fits = F.abs(carried) < F.lit(1 << (62 - PART))
+    added = F.shiftleft(carried, PART) + lower.bitwiseAND(F.lit((1 << PART) - 1))
     complaint = F.raise_error(F.lit("an exact sum is too large")).cast("bigint")
-    return (
-        F.when(F.min(units) == F.lit(NO_UNITS), _complaint(decimals))
-        .when(added.isNull() & (F.count(units) > 0), complaint)
-        .otherwise(added)
-    )
+    summed = F.when(fits, added).when(~fits, complaint)
+    if not single:
+        return summed
+    return F.when(F.max(units) == F.lit(NO_UNITS), _complaint(decimals)).otherwise(summed)
 
 
 def from_units(units: Column, decimals: int) -> Column:
@@ -119,15 +127,18 @@ def _known(name: str) -> tuple[Callable, Callable]:
     return AGGREGATES[name]
 
 
-def aggregate(name: str, value: Column, decimals: int | None = None) -> Column:
-    """The aggregate called ``name``; missing values are skipped, none at all gives NULL."""
-    plain, exact = _known(name)
-    return plain(value) if decimals is None else exact(checked_units(value, decimals), decimals)
-
+def aggregate(
+    name: str, value: Column, decimals: int | None = None, magnitude: float = 0.0
+) -> Column:
+    """The aggregate called ``name``; missing values are skipped, none at all gives NULL.
 
-def aggregate_units(name: str, units: Column, decimals: int) -> Column:
-    """The aggregate called ``name`` of a column of ``checked_units``."""
-    return _known(name)[1](units, decimals)
+    Units are computed within the aggregate, where Spark shares them between its parts and compiles
+    each aggregate apart; as projected columns they make one method that is too large to compile.
+    """
+    plain, exact = _known(name)
+    if decimals is None:
+        return plain(value)
+    return exact(checked_units(value, decimals, magnitude), decimals)
 
 
 def page_title(period: Column, site: Column) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellkpi.functions.buckets import hour_timestamp
-from cellkpi.functions.values import checked_units
+from cellkpi.functions.values import aggregate, checked_units
 
 # The volumes that daily pages divide, by how much, and the success rate that is
 # shown as a failure rate.
@@ -38,7 +36,11 @@ def with_hour_timestamp(df: DataFrame) -> DataFrame:
     return df.withColumn("DATE_ID", moment).drop("HOUR_ID")
 
 
-def in_units(df: DataFrame, kpis: Iterable[str], decimals: int, keep: list[str]) -> DataFrame:
-    """``keep`` and the counters as checked units, each computed once however often it is used."""
-    units = [checked_units(F.col(k), decimals, MAGNITUDES.get(k, 0.0)).alias(k) for k in kpis]
-    return df.select(*keep, *units)
+def units_of(kpi: str, decimals: int) -> Column:
+    """A counter as checked units."""
+    return checked_units(F.col(kpi), decimals, MAGNITUDES.get(kpi, 0.0))
+
+
+def aggregate_of(agg: str, kpi: str, decimals: int | None) -> Column:
+    """The sum or mean of a counter."""
+    return aggregate(agg, F.col(kpi), decimals, MAGNITUDES.get(kpi, 0.0))

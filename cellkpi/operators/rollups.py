@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from cellkpi.functions.buckets import bucket
 from cellkpi.functions.cells import CELL
-from cellkpi.functions.values import aggregate, aggregate_units
 from cellkpi.operators.filters import in_sector
-from cellkpi.operators.measures import in_units
+from cellkpi.operators.measures import aggregate_of
 
 TRAFFIC = "Total_Traffic_Volume"
 
@@ -36,14 +35,8 @@ def series(
     decimals: int | None = None,
 ) -> DataFrame:
     """One value per site, bucket and ``by`` columns for each KPI, given as {KPI: aggregation}."""
-    keys = ["site", "bucket", *by]
-    timed = with_bucket(rows, period)
-    if decimals is None:
-        values = [aggregate(how, F.col(kpi)).alias(kpi) for kpi, how in kpis.items()]
-    else:
-        timed = in_units(timed, kpis, decimals, keys)
-        values = [aggregate_units(how, F.col(k), decimals).alias(k) for k, how in kpis.items()]
-    return timed.groupBy(*keys).agg(*values)
+    values = [aggregate_of(how, kpi, decimals).alias(kpi) for kpi, how in kpis.items()]
+    return with_bucket(rows, period).groupBy("site", "bucket", *by).agg(*values)
 
 
 def traffic_by_band(rows: DataFrame, period: str, decimals: int | None = None) -> DataFrame:

@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 from cellkpi.functions.cells import CELL, SECTORS
 from cellkpi.functions.values import (
     AGGREGATES,
-    aggregate,
-    aggregate_units,
     from_units,
     page_title,
     sum_units,
 )
 from cellkpi.operators.axes import ALL_SECTORS, first_bucket, first_times, stack
-from cellkpi.operators.measures import in_units
+from cellkpi.operators.measures import aggregate_of, units_of
 from cellkpi.operators.rollups import with_bucket
 from cellkpi.plans.catalog import (
     BAND_SERIES,
@@ -56,11 +54,8 @@ def _aggregated(rows: DataFrame, keys: list[str], charts: list[Chart], source: S
     decimals = source.decimals
     if source.partials:
         values = [_of_parts(agg, kpi, decimals) for agg, kpi in wanted]
-    elif decimals is None:
-        values = [aggregate(agg, F.col(kpi)) for agg, kpi in wanted]
     else:
-        rows = in_units(rows, dict.fromkeys(k for _, k in wanted), decimals, keys)
-        values = [aggregate_units(agg, F.col(kpi), decimals) for agg, kpi in wanted]
+        values = [aggregate_of(agg, kpi, decimals) for agg, kpi in wanted]
     named = [v.alias(f"{agg}_{kpi}") for v, (agg, kpi) in zip(values, wanted, strict=True)]
     return rows.groupBy(*keys).agg(*named)
 
@@ -69,7 +64,7 @@ def _of_parts(agg: str, kpi: str, decimals: int | None) -> Column:
     """A sum or mean from columns of sums (in units, with ``decimals``) and counts."""
     total = F.sum(SUM.format(kpi))
     if decimals is not None:
-        total = from_units(sum_units(F.col(SUM.format(kpi)), decimals), decimals)
+        total = from_units(sum_units(F.col(SUM.format(kpi)), single=False), decimals)
     if agg == "sum":
         return total
     return F.try_divide(total, F.sum(COUNT.format(kpi)).cast("double"))
@@ -79,12 +74,14 @@ def _parts(rows: DataFrame, keys: list[str], kpis: list[str], source: Source) ->
     """Sums and counts by ``keys`` that still add up: sums stay in units, counts apart."""
     decimals = source.decimals
     parts = []
-    if not source.partials and decimals is not None:
-        rows = in_units(rows, kpis, decimals, keys)
     for kpi in kpis:
-        value = F.col(SUM.format(kpi) if source.partials else kpi)
-        total = F.sum(value) if decimals is None else sum_units(value, decimals)
-        count = F.sum(COUNT.format(kpi)) if source.partials else F.count(value)
+        if source.partials:
+            value, count = F.col(SUM.format(kpi)), F.sum(COUNT.format(kpi))
+        else:
+            value = F.col(kpi) if decimals is None else units_of(kpi, decimals)
+            count = F.count(value)
+        exact = decimals is not None
+        total = sum_units(value, decimals, single=not source.partials) if exact else F.sum(value)
         parts += [total.alias(SUM.format(kpi)), count.alias(COUNT.format(kpi))]
     return rows.groupBy(*keys).agg(*parts)
 

@@ -128,12 +128,12 @@ def test_exact_sums_skip_what_is_not_finite(spark, any_mode):
 
 
 def test_units_survive_a_complement(spark):
-    from cellkpi.operators.measures import COMPLEMENTED, in_units
+    from cellkpi.operators.measures import COMPLEMENTED, units_of
 
     values = [n / 100 for n in range(9901, 10001)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     rate = df.select((F.lit(100) - F.col("x")).alias(COMPLEMENTED))
-    units = in_units(rate, [COMPLEMENTED], 6, []).collect()
+    units = rate.select(units_of(COMPLEMENTED, 6)).collect()
     assert [r[0] for r in units] == [10_000 * (10_000 - n) for n in range(9901, 10001)]
 
 
