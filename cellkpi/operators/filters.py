@@ -22,10 +22,14 @@ def check_site(site: str) -> str:
     return site
 
 
+def like_text(cell: Column, text: str) -> Column:
+    """Whether a cell name holds the text, in any case; ``_`` and ``%`` in it match as in LIKE."""
+    return F.lower(cell).like(f"%{text.lower()}%")
+
+
 def site_contains(df: DataFrame, site: str) -> DataFrame:
-    """Cells whose name holds the text, in any case; ``_`` and ``%`` in it match as in LIKE."""
-    pattern = f"%{check_site(site).lower()}%"
-    return df.where(F.lower(F.col(cells.CELL)).like(pattern))
+    """Cells whose name holds the text (``like_text``). ``sources.cell_index`` finds them by an index."""
+    return df.where(like_text(F.col(cells.CELL), check_site(site)))
 
 
 def site_is(df: DataFrame, site: str) -> DataFrame:

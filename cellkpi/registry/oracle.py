@@ -126,6 +126,7 @@ SELECT CASE WHEN l_partkey % 23 = 0 THEN NULL WHEN l_partkey % 19 = 0 THEN LEFT(
 FROM (SELECT *, 'SAA' || LPAD(CAST(l_suppkey % 20 AS VARCHAR), 3, '0')
     || {ODD_CODES}[l_orderkey % 20 + 1] || CAST(l_partkey % 8 AS VARCHAR) AS cell FROM lineitem)
 """
+YEAR = "CAST(DATE_TRUNC('year', DATE_ID) AS DATE)"
 VOLUMES = ["Downlink_Traffic_Volume", "Uplink_Traffic_Volume", "Total_Traffic_Volume"]
 WHOLE = f"""SELECT AREA, DATE_ID, ERBS, EUTRANCELLFDD,
   {", ".join(f"FLOOR({c}) * 1000 AS {c}" for c in VOLUMES)},
@@ -311,6 +312,10 @@ def oracle_sql() -> dict[str, str]:
         "site_contains_wildcard": f"""SELECT {values} FROM ({ODD})
             WHERE regexp_matches(LOWER(EUTRANCELLFDD), 's..00.')""",
         "site_contains_inner": f"SELECT {values} FROM ({ODD}) WHERE {CONTAINS}",
+        "site_contains_stored": f"""SELECT * REPLACE ({YEAR} AS DATE_ID)
+            FROM (SELECT {values} FROM ({ODD}) WHERE {CONTAINS})""",
+        "site_contains_wildcard_stored": f"""SELECT * REPLACE ({YEAR} AS DATE_ID)
+            FROM (SELECT {values} FROM ({ODD}) WHERE regexp_matches(LOWER(EUTRANCELLFDD), 's.a007'))""",
         "site_exact_odd_cells": f"SELECT {values} FROM ({ODD}) WHERE {EXACT}",
         "complement_nulls": f"""SELECT EUTRANCELLFDD, DATE_ID,
             Total_Traffic_Volume / 1000 AS Total_Traffic_Volume, 100 - LTE_CSFB_SR AS LTE_CSFB_SR

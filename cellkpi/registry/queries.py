@@ -23,6 +23,7 @@ from cellkpi.plans.export import export_rows, preview, write_csv
 from cellkpi.plans.page import cached, page_rows
 from cellkpi.plans.report import chart_axes, out_of_range, page_report, report, stacked_areas
 from cellkpi.session import scratch_path
+from cellkpi.sources.cell_index import read_matching, write_indexed_facts
 from cellkpi.sources.extracts import (
     CSV_DIALECT,
     clean_extract,
@@ -188,6 +189,12 @@ def _stored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_facts(spark, path)
 
 
+def _indexed_odd(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    path = scratch_path(spark, "indexed")
+    write_indexed_facts(odd_cells(spark, sf_dir, "year"), path, groups=16)
+    return read_matching(spark, path, text).select(VALUES)
+
+
 def _cached_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of three periods over one kept selection, written before it is released."""
     path = scratch_path(spark, "pages")
@@ -308,6 +315,8 @@ def queries() -> dict[str, Query]:
             VALUES
         ),
         "site_contains_inner": lambda s, d: site_contains(odd_cells(s, d), SITE).select(VALUES),
+        "site_contains_stored": lambda s, d: _indexed_odd(s, d, SITE),
+        "site_contains_wildcard_stored": lambda s, d: _indexed_odd(s, d, "s_a007"),
         "site_exact_odd_cells": lambda s, d: site_is(odd_cells(s, d), SITE).select(VALUES),
         "complement_nulls": lambda s, d: scale_measures(odd_cells(s, d), "daily").select(
             "EUTRANCELLFDD", "DATE_ID", "Total_Traffic_Volume", "LTE_CSFB_SR"

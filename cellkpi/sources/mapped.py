@@ -127,8 +127,11 @@ def raw_daily_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 ODD_CODES = [*(code for codes in BAND_CODES.values() for code in codes), "MM", "ZZ"]
 
 
-def odd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts whose cells have every code, and names in lower case, prefixed, cut short or missing."""
+def odd_cells(spark: SparkSession, sf_dir: str, unit: str | None = None) -> DataFrame:
+    """Facts whose cells have every code, and names in lower case, prefixed, cut short or missing.
+
+    With a ``unit`` all rows of a month or year are of its first day, as in ``busy_days``.
+    """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("ERBS", _site("l_suppkey"))
     codes = F.array(*[F.lit(c) for c in ODD_CODES])
     code = F.get(codes, (F.col("l_orderkey") % len(ODD_CODES)).cast("int"))
@@ -141,9 +144,10 @@ def odd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(part % 13 == 0, F.concat(F.lit("X"), cell))
         .otherwise(cell)
     )
+    day = F.col("l_shipdate").cast("date")
     return lines.select(
         odd.alias(CELL),
-        F.col("l_shipdate").cast("date").alias("DATE_ID"),
+        (F.trunc(day, unit) if unit else day).alias("DATE_ID"),
         F.col("l_extendedprice").alias("Total_Traffic_Volume"),
         F.col("l_tax").alias("SE_2"),
         F.nullif(_double("l_orderkey % 11"), F.lit(0.0)).alias("LTE_CSFB_SR"),
