@@ -43,10 +43,19 @@ def page_rows(
         if site_mode not in SITE_MODES:
             raise ValueError(f"unknown site mode {site_mode!r}, expected one of {list(SITE_MODES)}")
         df = SITE_MODES[site_mode](df, site)
-    df = in_bands(with_cell_dimensions(df), bands)
-    df = scale_measures(df, grain)
+    return finish_rows(in_bands(with_cell_dimensions(df), bands), grain, site, site_mode)
+
+
+def finish_rows(df: DataFrame, grain: str, site: str | None, site_mode: str) -> DataFrame:
+    """Chosen facts in page units, with dimensions and the label of their page."""
+    df = scale_measures(with_cell_dimensions(df), grain)
     if grain == "hourly":
         df = with_hour_timestamp(df)
+    return page_label(df, site, site_mode)
+
+
+def page_label(df: DataFrame, site: str | None, site_mode: str) -> DataFrame:
+    """``df`` with ``site``: the text asked for with ``contains``, otherwise the cell's own site."""
     whole_page = site is not None and site_mode == "contains"
     return df.withColumn("site", F.lit(site.lower()) if whole_page else F.col("SiteKey"))
 

@@ -201,6 +201,14 @@ def report(
     return _report(rows, period, charts, Source(decimals))
 
 
+def report_of(
+    rows: DataFrame, grain: str, period: str, charts: list[Chart], source: Source
+) -> DataFrame:
+    """The report of rows that hold what ``source`` says, for a period that the grain has."""
+    check_period(grain, period)
+    return _report(rows, period, charts, source)
+
+
 def page_report(
     facts: DataFrame,
     grain: str,

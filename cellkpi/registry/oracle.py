@@ -138,6 +138,8 @@ QUOTED = """SELECT CASE WHEN doc_id % 5 = 0 THEN 'NA'
   'SAA007ML' || CAST(doc_id % 8 AS VARCHAR) AS EUTRANCELLFDD, CAST(doc_id AS DOUBLE) AS SE_2
 FROM documents"""
 BUSY = f"SELECT * REPLACE (CAST(DATE_TRUNC('month', DATE_ID) AS DATE) AS DATE_ID) FROM ({DAILY})"
+RELOADED = f"""SELECT * REPLACE (CASE WHEN {RANGE} THEN SE_2 + 1 ELSE SE_2 END AS SE_2)
+FROM ({BUSY})"""
 MISSING_SECTOR = DIMENSIONS.replace(
     f"{SECTOR} AS Sector", f"CASE WHEN LTE_CSFB_SR % 7 <> 0 THEN {SECTOR} END AS Sector"
 )
@@ -326,6 +328,15 @@ def oracle_sql() -> dict[str, str]:
         "default_dates": f"""SELECT {values} FROM ({HOURLY})
             WHERE DATE_ID BETWEEN DATE '2023-07-01' AND CURRENT_DATE""",
         "report_weekly_stored_daily": report("Weekly", daily=BUSY),
+        "latest_date_loaded": f"SELECT MAX({YEAR}) AS most_recent_date FROM ({DAILY})",
+        "cached_page_hit": report(
+            "Weekly", where=f"{CONTAINS} AND {RANGE}", bands="('L1800', 'L900')", daily=BUSY
+        ),
+        "cached_page_reloaded": report(
+            "Weekly", where=f"{CONTAINS} AND {RANGE}", bands="('L1800', 'L900')", daily=RELOADED
+        ),
+        "report_weekly_partials": report("Weekly", daily=BUSY),
+        "report_monthly_partials_reloaded": report("Monthly", daily=RELOADED),
         "latest_date_stored": f"SELECT MAX(DATE_ID) AS most_recent_date FROM ({BUSY})",
         "cached_page_three_periods": "\nUNION ALL\n".join(
             f"SELECT * FROM ({report(p, where=f'{CONTAINS} AND {RANGE}')})"

@@ -18,9 +18,11 @@ from cellkpi.operators.filters import (
     site_is,
 )
 from cellkpi.operators.measures import scale_measures, with_hour_timestamp
+from cellkpi.plans.cache import PageCache
 from cellkpi.plans.catalog import CHARTS, MEAN_KPIS
 from cellkpi.plans.export import export_rows, preview, write_csv
 from cellkpi.plans.page import cached, page_rows
+from cellkpi.plans.partials import load_facts, report_from_partials
 from cellkpi.plans.report import chart_axes, out_of_range, page_report, report, stacked_areas
 from cellkpi.session import scratch_path
 from cellkpi.sources.cell_index import read_matching, write_indexed_facts
@@ -43,7 +45,7 @@ from cellkpi.sources.mapped import (
     whole_daily,
 )
 from cellkpi.sources.schema import clean_names, inferred_types
-from cellkpi.sources.tables import latest_date, read_facts, write_facts
+from cellkpi.sources.tables import latest_date, latest_loaded_date, read_facts, write_facts
 from cellkpi.streaming.append import append_facts, stream_extracts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +197,40 @@ def _indexed_odd(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return read_matching(spark, path, text).select(VALUES)
 
 
+def _from_partials(spark: SparkSession, sf_dir: str, period: str, reload: bool) -> DataFrame:
+    """A report from partials of a load, and of a second load of some of its days."""
+    facts_path, path = scratch_path(spark, "facts"), scratch_path(spark, "partials")
+    facts = busy_days(spark, sf_dir)
+    load_facts(facts, facts_path, path, "replace", decimals=DECIMALS)
+    if reload:
+        changed = dates_between(facts, START, END).withColumn("SE_2", F.col("SE_2") + 1)
+        load_facts(changed, facts_path, path, "reload", decimals=DECIMALS)
+    return report_from_partials(read_facts(spark, path), period, decimals=DECIMALS)
+
+
+def _keyed_pages(spark: SparkSession, sf_dir: str, reload: bool) -> DataFrame:
+    """Two pages of one site: other bands and another period are a hit, reloaded days a miss."""
+    path, folder = scratch_path(spark, "facts"), scratch_path(spark, "pages")
+    facts = busy_days(spark, sf_dir)
+    write_facts(facts, path)
+    scope = {"site": SITE, "start": START, "end": END}
+    PageCache(spark, folder).rows(path, "daily", **scope)
+    if reload:
+        changed = dates_between(facts, START, END).withColumn("SE_2", F.col("SE_2") + 1)
+        write_facts(changed, path, "reload")
+    cache = PageCache(spark, folder)
+    rows = cache.rows(path, "daily", bands=["L1800", "L900"], **scope)
+    if (cache.hits, cache.misses) != ((0, 1) if reload else (1, 0)):
+        raise RuntimeError(f"{cache.hits} hits and {cache.misses} misses")
+    return report(rows, "Weekly", decimals=DECIMALS)
+
+
+def _latest_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "facts")
+    write_facts(busy_days(spark, sf_dir, "year"), path)
+    return latest_loaded_date(spark, path)
+
+
 def _cached_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of three periods over one kept selection, written before it is released."""
     path = scratch_path(spark, "pages")
@@ -329,7 +365,12 @@ def queries() -> dict[str, Query]:
             _stored_daily(s, d), "daily", "Weekly", decimals=DECIMALS
         ),
         "latest_date_stored": lambda s, d: latest_date(_stored_daily(s, d)),
+        "latest_date_loaded": _latest_loaded,
         "cached_page_three_periods": _cached_page,
+        "cached_page_hit": lambda s, d: _keyed_pages(s, d, False),
+        "cached_page_reloaded": lambda s, d: _keyed_pages(s, d, True),
+        "report_weekly_partials": lambda s, d: _from_partials(s, d, "Weekly", False),
+        "report_monthly_partials_reloaded": lambda s, d: _from_partials(s, d, "Monthly", True),
         "empty_selection": lambda s, d: report(
             rows_for(s, d, "Weekly", bands=[]), "Weekly", decimals=DECIMALS
         ),
