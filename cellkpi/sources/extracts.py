@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,92 @@ def read_extract(spark: SparkSession, path: str, *, multi_line: bool = False) ->
     return reader.schema(header_schema(spark, path, multi_line)).csv(path)
 
 
+CORRUPT = "_corrupt_row"
+
+
+def read_extract_rows(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """An extract as text that goes on past rows of another width than the header.
+
+    Such a row's text is in ``_corrupt_row``, NULL for the others; ``_file`` names the file. Split the
+    rows with ``split_rows``. Files with another header still fail.
+    """
+    schema = header_schema(spark, path, multi_line).add(CORRUPT, T.StringType())
+    return _lenient(spark.read, multi_line).schema(schema).csv(path).select("*", _file())
+
+
+def stream_extract_rows(
+    spark: SparkSession, folder: str, max_files: int = 1000, *, multi_line: bool = False
+) -> DataFrame:
+    """The same for files that land in a folder, as a stream."""
+    schema = header_schema(spark, folder, multi_line).add(CORRUPT, T.StringType())
+    reader = _lenient(spark.readStream, multi_line).option("maxFilesPerTrigger", max_files)
+    return reader.schema(schema).csv(folder).select("*", _file())
+
+
+def _file() -> Column:
+    return F.col("_metadata.file_path").alias("_file")
+
+
+def _lenient(reader, multi_line: bool):
+    options = {**csv_options(multi_line), "mode": "PERMISSIVE"}
+    return reader.options(**options).option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def split_rows(
+    raw: DataFrame, *, date_format: str | list[str] | None = None, **cleaning
+) -> tuple[DataFrame, DataFrame]:
+    """(facts, rejected) of rows read by ``read_extract_rows`` or ``stream_extract_rows``.
+
+    ``rejected`` has the file, the row's text and the reason: a row that is not as wide as the header, or
+    whose date can't be read. Every input row is in one of the two. ``cleaning`` is that of ``clean_extract``.
+    """
+    columns = [c for c in raw.columns if c not in (CORRUPT, "_file")]
+    day = next(c for c in columns if clean_names(raw.select(c)).columns == ["DATE_ID"])
+    absent = cleaning.get("missing_texts")
+    text = F.col(day)
+    known = ~text.isin(MISSING_TEXTS if absent is None else absent or [""]) & (text != "")
+    unread = known & to_date(text, date_format, strict=False).isNull()
+    reason = (
+        F.when(F.col(CORRUPT).isNotNull(), "not as wide as the header")
+        .when(F.coalesce(unread, F.lit(False)), "not a date")
+        .alias("reason")
+    )
+    marked = raw.select("*", reason)
+    good = marked.where(F.col("reason").isNull()).select(*columns)
+    row = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*columns), {"escape": '"'}))
+    rejected = marked.where(F.col("reason").isNotNull()).select(
+        F.col("_file").alias("file"), row.alias("row"), "reason"
+    )
+    return clean_extract(good, date_format=date_format, strict_dates=False, **cleaning), rejected
+
+
+def observe_coercions(raw: DataFrame, observation: Observation, text_columns=None) -> DataFrame:
+    """``raw`` with counts of the texts that ``clean_extract`` turns into missing numbers.
+
+    The counts are gathered while the frame is used, by the write of the load for instance; read them with
+    ``coercions`` once that is done.
+    """
+    keep = TEXT_COLUMNS if text_columns is None else text_columns
+    parts = []
+    for name, clean in zip(raw.columns, clean_names(raw).columns, strict=True):
+        if clean == "DATE_ID" or clean in keep:
+            continue
+        text = F.col(f"`{name}`")
+        lost = text.isNotNull() & to_number(text).isNull()
+        parts += [
+            F.count_if(lost).alias(f"n_{clean}"),
+            F.min(F.when(lost, text)).alias(f"first_{clean}"),
+        ]
+    return raw.observe(observation, *parts)
+
+
+def coercions(spark: SparkSession, observation: Observation) -> DataFrame:
+    """(column, coerced, example): per number column, the texts that became missing and the least of them."""
+    found = observation.get
+    rows = [(n[2:], v, found[f"first_{n[2:]}"]) for n, v in found.items() if n.startswith("n_")]
+    return spark.createDataFrame(rows, "column string, coerced long, example string")
+
+
 def clean_extract(
     raw: DataFrame,
     *,

@@ -183,3 +183,15 @@ def latest_loaded_date(spark: SparkSession, path: str) -> DataFrame:
     days = sorted((d for d in folders if d != "__HIVE_DEFAULT_PARTITION__"), reverse=True)
     last = next((d for d in days if _holds_data(fs, folders[d])), None)
     return spark.sql("SELECT CAST(:day AS DATE) AS most_recent_date", {"day": last})
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a folder."""
+    fs, folder = _fs(spark, path)
+    below = fs.listStatus(folder) if fs.exists(folder) else []
+    return sorted(f.getPath().toString() for f in below if f.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _fs(spark, path)
+    fs.delete(folder, True)

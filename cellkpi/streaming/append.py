@@ -33,3 +33,11 @@ def append_facts(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     writer = by_day.writeStream.format("parquet").partitionBy(PARTITION)
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start()
+
+
+def append_rejected(rejected: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the rejected rows of a stream (``extracts.split_rows``) to a table of their own."""
+    check_stream_path(rejected.sparkSession, path)
+    writer = rejected.writeStream.format("parquet").option("path", path)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(availableNow=True).start()
