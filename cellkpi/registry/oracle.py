@@ -7,7 +7,7 @@ engines have one right answer to the last bit.
 from __future__ import annotations
 
 from cellkpi.plans.catalog import CHARTS, MEAN_KPIS, TOTAL_SERIES, Chart
-from cellkpi.registry.queries import END, RELOAD_FROM, SITE, START
+from cellkpi.registry.queries import END, RELOAD_FROM, SITE, START, YEARS_LATER
 
 DAILY = """
 SELECT l_returnflag AS AREA, CAST(l_shipdate AS DATE) AS DATE_ID, site AS ERBS,
@@ -66,6 +66,13 @@ SELECT l_returnflag AS AREA, strftime(l_shipdate, '%Y-%m-%d') AS DATE_ID, site A
 FROM (SELECT *, 'SAA' || LPAD(CAST(l_suppkey % 20 AS VARCHAR), 3, '0') AS site FROM lineitem)
 """
 
+CLEANED = f"""SELECT * REPLACE (CAST(DATE_ID AS DATE) AS DATE_ID,
+            TRY_CAST(Total_Traffic_Volume AS DOUBLE) AS Total_Traffic_Volume,
+            CAST(pm_count AS DOUBLE) AS pm_count, CAST(SE_2 AS DOUBLE) AS SE_2,
+            CAST(RRC_Setup_Success_Rate_Service AS DOUBLE) AS RRC_Setup_Success_Rate_Service,
+            CAST(Intra_Frequency_Handover_Out_Success_Rate AS DOUBLE)
+              AS Intra_Frequency_Handover_Out_Success_Rate) FROM ({RAW_DAILY})"""
+
 # Band codes and sector digits of the cell naming scheme.
 BAND_TABLE = {
     "L1800": "AL EL IL ML SL",
@@ -242,6 +249,16 @@ def _types() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _coerced() -> str:
+    columns = ["Total_Traffic_Volume", "pm_count", "SE_2", "RRC_Setup_Success_Rate_Service"]
+    lost = "{0} IS NOT NULL AND TRY_CAST({0} AS DOUBLE) IS NULL"
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column", COUNT(*) FILTER ({lost.format(c)}) AS coerced,
+          MIN({c}) FILTER ({lost.format(c)}) AS example FROM ({RAW_DAILY})"""
+        for c in [*columns, "Intra_Frequency_Handover_Out_Success_Rate"]
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     values = "EUTRANCELLFDD, DATE_ID, Total_Traffic_Volume, SE_2"
     volumes = "Downlink_Traffic_Volume, Uplink_Traffic_Volume, Total_Traffic_Volume"
@@ -293,12 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "write_append": f"{stored} UNION ALL {stored}",
         "write_reload": f"""SELECT * REPLACE (CASE WHEN DATE_ID >= DATE '{RELOAD_FROM}'
             THEN SE_2 + 1 ELSE SE_2 END AS SE_2) FROM ({stored})""",
-        "csv_round_trip": f"""SELECT * REPLACE (CAST(DATE_ID AS DATE) AS DATE_ID,
-            TRY_CAST(Total_Traffic_Volume AS DOUBLE) AS Total_Traffic_Volume,
-            CAST(pm_count AS DOUBLE) AS pm_count, CAST(SE_2 AS DOUBLE) AS SE_2,
-            CAST(RRC_Setup_Success_Rate_Service AS DOUBLE) AS RRC_Setup_Success_Rate_Service,
-            CAST(Intra_Frequency_Handover_Out_Success_Rate AS DOUBLE)
-              AS Intra_Frequency_Handover_Out_Success_Rate) FROM ({RAW_DAILY})""",
+        "csv_round_trip": CLEANED,
         "csv_export": page_rows("Daily"),
         "stream_append": stored,
         "csv_quoted_round_trip": QUOTED,
@@ -325,8 +337,29 @@ def oracle_sql() -> dict[str, str]:
         "hour_rollover": f"""SELECT EUTRANCELLFDD, SE_2, Total_Traffic_Volume,
             CAST(DATE_ID AS TIMESTAMP) + (HOUR_ID + CAST(SE_2 AS INTEGER)) * INTERVAL 1 HOUR
               AS DATE_ID FROM ({HOURLY})""",
-        "default_dates": f"""SELECT {values} FROM ({HOURLY})
+        "default_dates": f"""SELECT * FROM (SELECT {values} FROM (SELECT * REPLACE (
+            CAST(DATE_ID + INTERVAL {YEARS_LATER} YEAR AS DATE) AS DATE_ID) FROM ({DAILY})))
             WHERE DATE_ID BETWEEN DATE '2023-07-01' AND CURRENT_DATE""",
+        "default_dates_hourly": f"""SELECT * FROM (SELECT {values} FROM (SELECT * REPLACE (
+            CAST(CURRENT_DATE + CAST(DATE_ID - DATE '{RELOAD_FROM}' AS INTEGER) AS DATE) AS DATE_ID)
+            FROM ({HOURLY}))) WHERE DATE_ID BETWEEN CURRENT_DATE - 3 AND CURRENT_DATE""",
+        "arrow_round_trip": HOURLY,
+        "write_published": f"SELECT * REPLACE ({YEAR} AS DATE_ID), {DIMENSIONS} FROM ({DAILY})",
+        "kpi_mean_by_sector_cell_bucketed": rollup(
+            "Monthly", "Sector, EUTRANCELLFDD", means, in_sector,
+            daily=f"SELECT * REPLACE ({YEAR} AS DATE_ID) FROM ({DAILY})",
+        ),
+        "extract_good_rows": f"SELECT * FROM ({CLEANED}) WHERE pm_count NOT IN (6, 7)",
+        "extract_rejected_rows": f"""SELECT CASE pm_count WHEN '7' THEN 'not as wide as the header'
+              ELSE 'not a date' END AS reason,
+            concat_ws(',', AREA, CASE pm_count WHEN '6' THEN 'x' ELSE '' END || DATE_ID, ERBS,
+              EUTRANCELLFDD, Total_Traffic_Volume, pm_count, SE_2, RRC_Setup_Success_Rate_Service,
+              Intra_Frequency_Handover_Out_Success_Rate
+                || CASE pm_count WHEN '7' THEN ',1' ELSE '' END) AS row
+            FROM ({RAW_DAILY}) WHERE pm_count IN ('6', '7')""",
+        "coercion_report": _coerced(),
+        "empty_reversed_range": report("Weekly", where="FALSE"),
+        "empty_unknown_site": report("Weekly", where="FALSE"),
         "report_weekly_stored_daily": report("Weekly", daily=BUSY),
         "latest_date_loaded": f"SELECT MAX({YEAR}) AS most_recent_date FROM ({DAILY})",
         "cached_page_hit": report(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellkpi.functions.values import to_date, to_number
@@ -25,12 +26,17 @@ from cellkpi.plans.page import cached, page_rows
 from cellkpi.plans.partials import load_facts, report_from_partials
 from cellkpi.plans.report import chart_axes, out_of_range, page_report, report, stacked_areas
 from cellkpi.session import scratch_path
+from cellkpi.sources.arrow_files import read_arrow, write_arrow
 from cellkpi.sources.cell_index import read_matching, write_indexed_facts
 from cellkpi.sources.extracts import (
     CSV_DIALECT,
     clean_extract,
+    coercions,
     csv_options,
+    observe_coercions,
     read_extract,
+    read_extract_rows,
+    split_rows,
     with_cell_dimensions,
 )
 from cellkpi.sources.mapped import (
@@ -38,12 +44,14 @@ from cellkpi.sources.mapped import (
     busy_days,
     cell_daily,
     cell_hourly,
+    damaged_daily_text,
     missing_sectors,
     odd_cells,
     quoted_text,
     raw_daily_text,
     whole_daily,
 )
+from cellkpi.sources.published import publish_facts, save_bucketed
 from cellkpi.sources.schema import clean_names, inferred_types
 from cellkpi.sources.tables import latest_date, latest_loaded_date, read_facts, write_facts
 from cellkpi.streaming.append import append_facts, stream_extracts
@@ -142,6 +150,7 @@ def _write_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELOAD_FROM = "2024-01-10"
+YEARS_LATER = 29
 
 
 def _write_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +240,59 @@ def _latest_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_loaded_date(spark, path)
 
 
+def _arrow_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "arrow")
+    write_arrow(cell_hourly(spark, sf_dir), path)
+    return read_arrow(spark, path)
+
+
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts behind a view after a replace; the first version holds half of the rows."""
+    name, root = f"facts_{uuid.uuid4().hex}", scratch_path(spark, "published")
+    facts = busy_days(spark, sf_dir, "year")
+    publish_facts(facts.where("SE_2 > 0.02"), name, root)
+    publish_facts(facts, name, root)
+    return spark.table(name).drop("SiteKey")
+
+
+def _bucketed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = f"bucketed_{uuid.uuid4().hex}"
+    save_bucketed(busy_days(spark, sf_dir, "year"), table, 8)
+    rows = page_rows(spark.table(table), "daily")
+    return rollups.means_by_sector_cell(rows, "Monthly", MEAN_KPIS, DECIMALS)
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and rejected rows of an extract some of whose rows are too wide, or have no date."""
+    path = scratch_path(spark, "extract")
+    rows = damaged_daily_text(spark, sf_dir)
+    # Whole lines as one column, so that a comma within a value makes one more field.
+    line = F.concat_ws(",", *(f"`{c}`" for c in rows.columns)).alias(",".join(rows.columns))
+    rows.select(line).write.options(header=True, sep="\u0001").csv(path)
+    return split_rows(read_extract_rows(spark, path))
+
+
+def _coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observation = Observation()
+    raw = observe_coercions(raw_daily_text(spark, sf_dir), observation)
+    clean_extract(raw).write.parquet(scratch_path(spark, "facts"))
+    return coercions(spark, observation)
+
+
+def _default_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily facts of years around today, of which the default range leaves the first and last out."""
+    facts = cell_daily(spark, sf_dir)
+    moved = facts.withColumn("DATE_ID", F.add_months("DATE_ID", 12 * YEARS_LATER))
+    return dates_between(moved, *default_dates("daily")).select(VALUES)
+
+
+def _default_dates_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = cell_hourly(spark, sf_dir)
+    apart = F.datediff("DATE_ID", F.lit(RELOAD_FROM).cast("date"))
+    moved = facts.withColumn("DATE_ID", F.date_add(F.current_date(), apart))
+    return dates_between(moved, *default_dates("hourly")).select(VALUES)
+
+
 def _cached_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of three periods over one kept selection, written before it is released."""
     path = scratch_path(spark, "pages")
@@ -358,9 +420,20 @@ def queries() -> dict[str, Query]:
             "EUTRANCELLFDD", "DATE_ID", "Total_Traffic_Volume", "LTE_CSFB_SR"
         ),
         "hour_rollover": _hour_rollover,
-        "default_dates": lambda s, d: dates_between(
-            cell_hourly(s, d), *default_dates("daily")
-        ).select(VALUES),
+        "default_dates": _default_dates,
+        "default_dates_hourly": _default_dates_hourly,
+        "arrow_round_trip": _arrow_round_trip,
+        "write_published": _published,
+        "kpi_mean_by_sector_cell_bucketed": _bucketed_means,
+        "extract_good_rows": lambda s, d: _damaged(s, d)[0],
+        "extract_rejected_rows": lambda s, d: _damaged(s, d)[1].drop("file"),
+        "coercion_report": _coercions,
+        "empty_reversed_range": lambda s, d: report(
+            rows_for(s, d, "Weekly", start=END, end=START), "Weekly", decimals=DECIMALS
+        ),
+        "empty_unknown_site": lambda s, d: report(
+            rows_for(s, d, "Weekly", site="zzz999"), "Weekly", decimals=DECIMALS
+        ),
         "report_weekly_stored_daily": lambda s, d: page_report(
             _stored_daily(s, d), "daily", "Weekly", decimals=DECIMALS
         ),

@@ -187,3 +187,14 @@ def quoted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SAA007ML"), (F.col("doc_id") % 8).cast("string")).alias(CELL),
         F.col("doc_id").cast("string").alias("SE_2"),
     )
+
+
+def damaged_daily_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uncleaned daily extract with dates that are none, and values that hold a separator."""
+    raw = raw_daily_text(spark, sf_dir)
+    last, line = raw.columns[-1], F.col("pm_count")
+    wide = F.when(line == "7", F.concat(F.col(f"`{last}`"), F.lit(",1")))
+    broken = F.when(line == "6", F.concat(F.lit("x"), F.col("DATE_ID")))
+    return raw.withColumns(
+        {last: F.coalesce(wide, F.col(f"`{last}`")), "DATE_ID": F.coalesce(broken, F.col("DATE_ID"))}
+    )
