@@ -134,14 +134,18 @@ def _band_values(rows: DataFrame, charts: list[Chart], source: Source) -> DataFr
 
 
 def _chart_rows(
-    values: DataFrame, charts: list[Chart], decimals: int | None, stacked: bool
+    values: DataFrame,
+    charts: list[Chart],
+    decimals: int | None,
+    stacked: bool,
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per chart, bucket and series, from one column per aggregated KPI."""
     measures = list(dict.fromkeys(f"{c.agg}_{c.kpi}" for c in charts))
     long = values.unpivot(SERIES_KEYS, measures, "measure", "value")
     if stacked:
         # Before the catalogue's columns join, so that the window shuffles narrow rows.
-        long = stack(long, ["site", "bucket", "series_key", "sector", "measure"], decimals)
+        long = stack(long, ["site", "bucket", "series_key", "sector", "measure"], decimals, parts=parts)
     catalog = chart_frame(values.sparkSession, charts)
     catalog = catalog.withColumn("measure", F.concat_ws("_", "agg", "kpi")).drop("agg")
     # The catalogue is a list in the program: one row per chart, whatever the size of the facts.
@@ -149,7 +153,12 @@ def _chart_rows(
 
 
 def _report(
-    rows: DataFrame, period: str, charts: list[Chart], source: Source, stacked: bool = False
+    rows: DataFrame,
+    period: str,
+    charts: list[Chart],
+    source: Source,
+    stacked: bool = False,
+    stack_parts: int | None = None,
 ) -> DataFrame:
     unknown = {c.agg for c in charts} - set(AGGREGATES)
     if unknown or not charts:
@@ -161,7 +170,7 @@ def _report(
     for group, values_of in ((by_cell, _cell_values), (by_band, _band_values)):
         if group:
             values = values_of(timed, group, source)
-            parts.append(_chart_rows(values, group, source.decimals, stacked))
+            parts.append(_chart_rows(values, group, source.decimals, stacked, stack_parts))
     merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     value = F.col("value")
@@ -245,10 +254,15 @@ def stacked_areas(
     *,
     charts: list[Chart] = CHARTS,
     decimals: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """The series of the area charts with the height at which each one ends in the stack."""
+    """The series of the area charts with the height at which each one ends in the stack.
+
+    ``parts`` spreads buckets of very many series over that many tasks, as a page that matches all
+    cells has them; the rows go through the shared scratch folder then.
+    """
     areas = [c for c in charts if c.shape == "area"]
-    return _report(rows, period, areas, Source(decimals), stacked=True)
+    return _report(rows, period, areas, Source(decimals), stacked=True, stack_parts=parts)
 
 
 def out_of_range(

@@ -300,6 +300,7 @@ def oracle_sql() -> dict[str, str]:
         "first_bucket": first_buckets("Weekly"),
         "stacked_area": stacked("Weekly"),
         "stacked_area_hourly": stacked("Hourly"),
+        "stacked_area_spread": stacked("Weekly"),
         "out_of_range": f"SELECT * FROM ({report('Weekly', ranged)}) WHERE out_of_range",
         "export_rows": page_rows("Daily"),
         "export_rows_hourly": page_rows("Hourly"),

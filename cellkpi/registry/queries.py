@@ -382,6 +382,9 @@ def queries() -> dict[str, Query]:
         "stacked_area_hourly": lambda s, d: stacked_areas(
             rows_for(s, d, "Hourly"), "Hourly", decimals=DECIMALS
         ),
+        "stacked_area_spread": lambda s, d: stacked_areas(
+            rows_for(s, d, "Weekly"), "Weekly", decimals=DECIMALS, parts=16
+        ),
         "out_of_range": lambda s, d: out_of_range(
             rows_for(s, d, "Weekly"), "Weekly", decimals=DECIMALS
         ),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,32 @@ def read_extract(spark: SparkSession, path: str, *, multi_line: bool = False) ->
     return reader.schema(header_schema(spark, path, multi_line)).csv(path)
 
 
+def choose_date_format(
+    named: DataFrame, formats: Sequence[str], missing_texts: Sequence[str] = MISSING_TEXTS
+) -> str:
+    """The first of the formats that reads every date of a load; raises if none does.
+
+    ``04/05/2023`` fits two formats, so a choice per value could turn one column's days into different
+    ones. All formats are judged in one pass over the date column that shuffles one row per task.
+    """
+    formats = list(formats)
+    if len(formats) == 1:
+        return formats[0]
+    if named.isStreaming:
+        raise ValueError("a stream needs one date format, or mix_formats=True")
+    text = F.col("DATE_ID")
+    known = F.when(~text.isin(list(missing_texts)) & (text != ""), text)
+    fits = [
+        F.bool_and(known.isNull() | F.try_to_date(known, f).isNotNull()).alias(f"f{i}")
+        for i, f in enumerate(formats)
+    ]
+    found = named.agg(*fits).first()
+    for format_, good in zip(formats, found, strict=True):
+        if good is not False:
+            return format_
+    raise ValueError(f"no format of {formats} reads all dates of the extract")
+
+
 CORRUPT = "_corrupt_row"
 
 
@@ -149,17 +177,21 @@ def clean_extract(
     missing_texts: list[str] | None = None,
     date_format: str | list[str] | None = None,
     strict_dates: bool = True,
+    mix_formats: bool = False,
 ) -> DataFrame:
     """Clean names, parse ``DATE_ID`` and turn every other non-text column into numbers.
 
     With a ``grain``, missing and unknown columns raise. A text column whose value is one of
-    ``missing_texts`` is NULL; an empty list keeps all texts. Several date formats are tried in order.
+    ``missing_texts`` is NULL; an empty list keeps all texts. Of several date formats one is chosen for
+    the load (``choose_date_format``, a pass over the dates); ``mix_formats`` tries them value by value.
     """
     keep = TEXT_COLUMNS if text_columns is None else text_columns
     absent = MISSING_TEXTS if missing_texts is None else missing_texts
     named = clean_names(raw)
     if grain is not None:
         check_columns(named.columns, grain)
+    if date_format is not None and not isinstance(date_format, str) and not mix_formats:
+        date_format = choose_date_format(named, date_format, absent)
 
     def convert(name: str):
         text = F.col(name)
