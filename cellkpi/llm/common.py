@@ -36,11 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until ``df`` has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` stored with a number that no two rows share, and that column's name."""
-    name = "__row"
-    while name in df.columns:
-        name += "_"
+    name = free_name(df, "__row")
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 

@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellkpi.llm.common import stored
+from cellkpi.llm.common import free_name, stored
 
 MARGINS = ("source", "lang", "topic")
 
@@ -128,8 +128,12 @@ def _uniform(mixture: Mixture, id_column: str) -> Column:
 
 def _drawn(
     documents: DataFrame, mixture: Mixture, topic: Column | None, id_column: str, text_column: str
-) -> DataFrame:
-    """``documents`` with the struct ``__mix``: the categories, tokens, chance, weight, kept."""
+) -> tuple[DataFrame, str, str]:
+    """(rows with a struct and a factor added, the struct's name, the factor's name).
+
+    The struct has the categories, tokens, chance, weight and whether the row is kept. Names are such that
+    ``documents`` has no column called so.
+    """
     text = F.col(text_column)
     margins = {
         "source": F.col("source"),
@@ -138,21 +142,22 @@ def _drawn(
     }
     cells = stored(_cells(documents, margins, token_weight(text)), "cells")
     fitted = rake(cells, mixture).drop("tokens")
-    fitted = stored(fitted.select(F.struct(*MARGINS).alias("__cell"), "factor"), "factors")
+    cell_name, factor, mix_name = (free_name(documents, x) for x in ("__cell", "__factor", "__mix"))
+    fitted = fitted.select(F.struct(*MARGINS).alias(cell_name), F.col("factor").alias(factor))
+    fitted = stored(fitted, "factors")
     cell = F.struct(*(_category(column).alias(name) for name, column in margins.items()))
-    marked = documents.withColumn("__cell", cell)
-    joined = marked.join(fitted.withColumnRenamed("factor", "__factor"), "__cell")
-    wanted = F.col("__factor") * mixture.scale
+    joined = documents.withColumn(cell_name, cell).join(fitted, cell_name)
+    wanted = F.col(factor) * mixture.scale
     uniform = _uniform(mixture, id_column)
     chance = F.least(wanted, F.lit(1.0))
     mix = F.struct(
-        *(F.col("__cell")[name].alias(name) for name in MARGINS),
+        *(F.col(cell_name)[name].alias(name) for name in MARGINS),
         token_weight(text).alias("tokens"),
         chance.alias("chance"),
         F.greatest(wanted, F.lit(1.0)).alias("weight"),
         (uniform < chance).alias("kept"),
     )
-    return joined.withColumn("__mix", mix)
+    return joined.withColumn(mix_name, mix), mix_name, factor
 
 
 def mixing_report(
@@ -163,8 +168,8 @@ def mixing_report(
     text_column: str = "text",
 ) -> DataFrame:
     """A row per document: id, source, lang, topic, tokens, chance, weight and ``kept``."""
-    drawn = _drawn(documents, mixture, topic, id_column, text_column)
-    return drawn.select(F.col(id_column).alias("doc_id"), "__mix.*")
+    drawn, mix, _ = _drawn(documents, mixture, topic, id_column, text_column)
+    return drawn.select(F.col(id_column).alias("doc_id"), f"{mix}.*")
 
 
 def sample_mixture(
@@ -179,8 +184,8 @@ def sample_mixture(
     Cells that would need more than all their documents miss their targets by their ``weight``;
     ``repeat_mixture`` repeats documents instead.
     """
-    drawn = _drawn(documents, mixture, topic, id_column, text_column)
-    return drawn.where("__mix.kept").select(*documents.columns)
+    drawn, mix, _ = _drawn(documents, mixture, topic, id_column, text_column)
+    return drawn.where(F.col(mix)["kept"]).select(*documents.columns)
 
 
 def repeat_mixture(
@@ -195,8 +200,8 @@ def repeat_mixture(
     ``scale * factor`` is the expected number of copies: the whole part of it are certain, one more
     is drawn with the rest as its chance. So the expected tokens of every cell are the fitted ones.
     """
-    drawn = _drawn(documents, mixture, topic, id_column, text_column)
-    wanted = F.col("__factor") * mixture.scale
+    drawn, _, factor = _drawn(documents, mixture, topic, id_column, text_column)
+    wanted = F.col(factor) * mixture.scale
     more = (_uniform(mixture, id_column) < wanted - F.floor(wanted)).cast("int")
     copies = F.floor(wanted).cast("int") + more
     each = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))

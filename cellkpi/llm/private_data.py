@@ -22,11 +22,13 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellkpi.llm.common import numbered, sized_slices, stored
+from cellkpi.llm.common import free_name, numbered, sized_slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -335,31 +337,31 @@ def redact(
     """
     rows, row = numbered(documents)
     found = find_private(rows, limits, row, text_column).where(F.size("found") > 0)
-    spans = f"{row}_found"
-    joined = rows.join(found.select(F.col("doc_id").alias(row), F.col("found").alias(spans)), row, "left")
-    hidden = replace_spans(F.col(text_column), F.col(spans))
+    number, spans = free_name(rows, f"{row}_number"), free_name(rows, f"{row}_found")
+    found = found.select(F.col("doc_id").alias(number), F.col("found").alias(spans))
+    joined = rows.join(found, rows[row] == found[number], "left")
+    hidden = _replaced(F.col(text_column), F.col(spans))
     text = F.when(F.col(spans).isNull(), F.col(text_column)).otherwise(hidden)
     return joined.withColumn(text_column, text).select(*documents.columns)
 
 
-def replace_spans(text: Column, spans: Column) -> Column:
-    """``text`` with the spans replaced by their kinds; overlapping spans count as the first one."""
-    ordered = F.sort_array(
-        F.transform(spans, lambda x: F.struct(x["begin"], x["end"], x["kind"].alias("kind")))
-    )
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def cut(state: Column, x: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, x["begin"] - state["at"])
-        label = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        out = F.concat(state["out"], between, label)
-        overlaps = x["begin"] < state["at"]
-        return F.struct(
-            F.when(overlaps, state["out"]).otherwise(out).alias("out"),
-            F.greatest(state["at"], x["end"]).alias("at"),
-        )
+def replace_spans(text: str, spans: Iterable[tuple[str, int, int]]) -> str:
+    """``text`` with spans (kind, begin, end) replaced by their kinds, in one pass over both.
 
-    def rest(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-
-    return F.aggregate(ordered, start, cut, rest)
+    Spans begin in the text's code points; one that overlaps an earlier one that counts is left out.
+    """
+    parts, at = [], 0
+    for begin, end, kind in sorted((b, e, k) for k, b, e in spans):
+        if begin >= at:
+            parts += [text[at:begin], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def _replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, found in zip(texts, spans, strict=True):
+        known = text is not None and found is not None
+        out.append(replace_spans(text, ((x["kind"], x["begin"], x["end"]) for x in found)) if known else text)
+    return pd.Series(out, dtype=object)

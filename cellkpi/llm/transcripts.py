@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellkpi.llm.common import grouped_chunks, stored
@@ -119,10 +119,11 @@ def fit(lines: DataFrame) -> Model:
     )
     counts = known.select("role", shown.alias("x")).groupBy("role", "x").count().collect()
     rows = known.where("line = 0").groupBy("conv_id", "turn", "row", "role").count()
-    # The role before a row is that of the row's predecessor in turn number; a transcript's rows
-    # meet by (id, turn), not by id alone, so that a long one is spread over tasks.
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
-    pairs = rows.select("conv_id", "turn", "role").join(before.distinct(), ["conv_id", "turn"], "left")
+    # The role before a row is that of the turn before it. A transcript's rows meet by (id, turn), not
+    # by id alone, so that a long one is spread over tasks.
+    before = rows.select("conv_id", F.col("turn").alias("previous"), F.col("role").alias("before"))
+    pairs = rows.select("conv_id", "turn", "role").join(_previous_turns(rows), ["conv_id", "turn"], "left")
+    pairs = pairs.join(before.distinct(), ["conv_id", "previous"], "left")
     steps = pairs.groupBy("before", "role").count().collect()
 
     n = len(ROLES)
@@ -203,6 +204,23 @@ def _matrix(part: _Part, opens_transcript: bool) -> list[float]:
     return out
 
 
+def _previous_turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, previous): the turn number before each one in its transcript, gaps or not.
+
+    Turns are dealt into ranges, so a transcript may lie in several. Within a range the window looks one
+    turn back; the first turn of a range follows the last one of the transcript's range before.
+    """
+    dealt = rows.select("conv_id", "turn").distinct().repartitionByRange("conv_id", "turn")
+    dealt = stored(dealt.withColumn("part", F.spark_partition_id()), "turns")
+    in_part = Window.partitionBy("conv_id", "part").orderBy("turn")
+    own = dealt.withColumn("own", F.lag("turn").over(in_part))
+    lasts = dealt.groupBy("conv_id", "part").agg(F.max("turn").alias("last"))
+    over_parts = Window.partitionBy("conv_id").orderBy("part")
+    lasts = lasts.select("conv_id", "part", F.lag("last").over(over_parts).alias("carried"))
+    joined = own.join(lasts, ["conv_id", "part"])
+    return joined.select("conv_id", "turn", F.coalesce("own", "carried").alias("previous"))
+
+
 def _parts(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.Table, list]]:
     """Tables of whole parts, and the part bounds in each: (begin, end, part)."""
     for table in grouped_chunks(batches, "part", 20_000):
@@ -330,28 +348,18 @@ def render_transcripts(
     found = recover_roles(lines, model or fit(lines), part_lines)
     found = stored(found, "found")
     # A range boundary may fall inside a row, so the row's id alone tells which lines belong together.
-    body = F.regexp_replace("text", MARKER, "")
-    held = found.groupBy("conv_id", "turn", "role", "row_id")
-    piece = F.struct("line", "opens", "found", body.alias("body"))
-    rows = held.agg(F.sort_array(F.collect_list(piece)).alias("lines"))
-    turns = F.aggregate(F.col("lines"), _no_turns(), _add_line)
-    each = rows.select("conv_id", "turn", "role", F.posexplode(turns).alias("piece", "t"))
-    text = F.concat(F.lit("<|"), F.col("t.role"), F.lit("|>\n"), F.trim("t.text"), F.lit("\n<|end|>\n"))
-    return each.select("conv_id", "turn", "piece", "role", F.col("t.role").alias("found"), text.alias("rendered"))
-
-
-def _no_turns() -> Column:
-    return F.array().cast("array<struct<role:string,text:string>>")
-
-
-def _add_line(turns: Column, line: Column) -> Column:
-    """The turns so far with a line added to the last one, or as a new one."""
-    last = F.get(turns, F.size(turns) - 1)
-    new = F.struct(line["found"].alias("role"), line["body"].alias("text"))
-    longer = F.struct(
-        last["role"].alias("role"), F.concat(last["text"], F.lit("\n"), line["body"]).alias("text")
-    )
-    fresh = (F.size(turns) == 0) | line["opens"] | (last["role"] != line["found"])
-    return F.when(fresh, F.concat(turns, F.array(new))).otherwise(
-        F.concat(F.slice(turns, 1, F.greatest(F.size(turns) - 1, F.lit(0))), F.array(longer))
+    body = F.regexp_replace("text", MARKER, "").alias("body")
+    in_row = Window.partitionBy("row_id").orderBy("line")
+    cut = F.col("opens") | (F.lag("found").over(in_row) != F.col("found"))
+    before = in_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A row's first line begins its first turn, number 0, whatever it is.
+    fresh = F.when(F.row_number().over(in_row) == 1, 0).otherwise(cut.cast("int"))
+    cuts = found.withColumn("fresh", fresh)
+    turns = cuts.select("*", F.sum("fresh").over(before).cast("int").alias("piece"), body)
+    held = turns.groupBy("conv_id", "turn", "role", "row_id", "piece").agg(
+        F.first("found").alias("found"),
+        F.sort_array(F.collect_list(F.struct("line", "body"))).alias("lines"),
     )
+    whole = F.array_join(F.transform("lines", lambda x: x["body"]), "\n")
+    text = F.concat(F.lit("<|"), "found", F.lit("|>\n"), F.trim(whole), F.lit("\n<|end|>\n"))
+    return held.select("conv_id", "turn", "piece", "role", "found", text.alias("rendered"))
