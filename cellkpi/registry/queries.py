@@ -150,7 +150,7 @@ def _write_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELOAD_FROM = "2024-01-10"
-YEARS_LATER = 29
+YEARS_LATER = 27
 
 
 def _write_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
