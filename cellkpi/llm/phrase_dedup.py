@@ -1,10 +1,10 @@
-"""Removing repeated word windows by suffix trees over prefix-partitioned suffixes.
+"""Removing repeated word windows by sorted suffixes, split by prefixes.
 
 Suffixes are split by variable-length prefixes: a prefix of some words for most, the whole window
 where a prefix is too frequent for one group (``repeats`` has the partitioning and the sampling of
-suffixes). Each group builds the tree of its suffixes from their order and common prefix lengths.
-An internal node of depth d is a run of suffixes that share d words; the deep ones are the maximal
-repeats that windows are looked up in.
+suffixes). Each group sorts its suffixes and takes the common prefix lengths of neighbours; these stand
+in for the internal nodes of a suffix tree, which is not built: a node of depth d is a run of suffixes
+that share d words, and the deep runs are the maximal repeats that windows are looked up in.
 
 Words are runs without ASCII white space, unchanged, told by 64-bit hashes. A null text has no
 words. A document with fewer words than a window loses none. Rows with a null id, or an id that
