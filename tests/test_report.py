@@ -287,7 +287,7 @@ def test_rollup_plan_has_one_exchange_and_no_sort(spark, sf_dir):
     ):
         text = plan(df)
         assert text.count("Exchange hashpartitioning") == 1
-        assert "partial_try_sum" in text
+        assert "functions=[partial_" in text  # whatever aggregates exact sums are made of
         for node in ("Sort", "Python", "Cartesian", "NestedLoop", "Window"):
             assert node not in text.replace("SortOrder", ""), node
 
