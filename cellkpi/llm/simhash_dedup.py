@@ -4,9 +4,9 @@ A fingerprint is cut into 32 segments of two bits and mapped to the point of the
 Manhattan distance of two points is at most the number of differing bits, so fingerprints within
 ``most_bits`` have points within it. Segments are put into ``groups`` groups; points that near agree
 wholly in all but ``most_bits`` groups. Cells of the grid are the counts of each such choice of
-groups: points in one cell are compared in the order of their total count, only while the totals are
-within the bound (the Manhattan distance of the coarsest embedding), and verified by the differing
-bits. Every choice is a cell, so no link is missed.
+groups: points in one cell are range-joined in the order of their total count, only while the totals are
+within the bound (the Manhattan distance of the coarsest embedding). Pairs within the bound by the Manhattan
+distance of their points are verified by the differing bits. Every choice is a cell, so no link is missed.
 
 Only distinct fingerprints are joined. A cell gives a forest of its links, not all pairs. A cell with
 more than ``hot`` fingerprints would be a task too large: its fingerprints go by *midpoints* instead.
@@ -109,12 +109,21 @@ def cells(points: DataFrame, most_bits: int, groups: int) -> DataFrame:
     )
 
 
+def sorted_segments(fp: np.ndarray) -> np.ndarray:
+    """The bits of each segment sorted: differing bits of two are their points' Manhattan distance."""
+    even = np.uint64(0x5555555555555555)
+    one = np.uint64(1)
+    low = (fp | fp >> one) & even  # at least one bit of the two
+    return low | (fp & fp >> one & even) << one
+
+
 def forest(cell: np.ndarray, fp: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fp, least fp joined to it) that connect what is within ``most_bits`` in each cell."""
     total = np.bitwise_count(fp)
     order = np.lexsort((total, cell))
     cell, fp, total = cell[order], fp[order], total[order].astype(np.int64)
     n = len(fp)
+    point = sorted_segments(fp)
     label = np.arange(n)
     fresh = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
     stop = np.repeat(fresh[1:], np.diff(fresh))
@@ -125,7 +134,8 @@ def forest(cell: np.ndarray, fp: np.ndarray, most_bits: int) -> tuple[np.ndarray
     while len(live):
         live = live[live + off < stop[live]]
         live = live[total[live + off] - total[live] <= most_bits]
-        near = live[np.bitwise_count(fp[live] ^ fp[live + off]) <= most_bits]
+        near = live[np.bitwise_count(point[live] ^ point[live + off]) <= most_bits]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + off]) <= most_bits]
         near = near[label[near] != label[near + off]]
         left.append(near)
         right.append(near + off)
@@ -227,7 +237,8 @@ def near_duplicates(
     links = stored(grid_links(points.select("fp"), most_bits, groups, hot), "links")
     roots = components(links).withColumnRenamed("node", "fp").withColumnRenamed("low", "root")
     rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written first, like the sizes: a root with very many fingerprints is split.
+    named = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "named")
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(by_fp, "fp").select("doc_id", text, "component_id")

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from cellkpi.llm import byte_pairs, line_quality, private_data, token_counts, tokenizing
 from cellkpi.llm.queries import oracle_sql, queries
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_groups
 
 QUERIES = queries()
 SCHEMA = "doc_id long, text string"
@@ -210,15 +210,11 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(r.n_chars == len(r.text) for r in rows.values())
 
     second = stages["near_dedup"](spark, first, sf_dir)
-    fps = {d: plain_fingerprint(r.text) for d, r in rows.items()}
-    root = plain_components(sorted(set(fps.values())), lambda a, b: (a ^ b).bit_count() <= 4)
-    least = {}
-    for d in sorted(fps):
-        least.setdefault(root[fps[d]], d)
-    assert second.columns == columns and set(by_id(second)) == set(least.values())
+    least = set(plain_groups({d: r.text for d, r in rows.items()}).values())
+    assert second.columns == columns and set(by_id(second)) == least
 
     third = by_id(stages["private_data"](spark, second, sf_dir))
-    assert set(third) == set(least.values())
+    assert set(third) == least
     for d, r in third.items():
         assert not any(plain_base(r.text).values()) and ("[" in r.text or r.text == rows[d].text)
 
