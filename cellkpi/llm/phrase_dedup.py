@@ -1,10 +1,11 @@
-"""Removing repeated word windows by sorted suffixes, split by prefixes.
+"""Removing repeated word windows by prefix-partitioned suffix trees.
 
 Suffixes are split by variable-length prefixes: a prefix of some words for most, the whole window
 where a prefix is too frequent for one group (``repeats`` has the partitioning and the sampling of
-suffixes). Each group sorts its suffixes and takes the common prefix lengths of neighbours; these stand
-in for the internal nodes of a suffix tree, which is not built: a node of depth d is a run of suffixes
-that share d words, and the deep runs are the maximal repeats that windows are looked up in.
+suffixes; a group of whole windows has one node, the window, and is counted). Each group sorts its suffixes
+and grows its subtrees from the common prefixes of neighbours (``suffix_tree``). What a deep internal node
+spells is a repeat; a window is looked up at the node where its words from the anchor on end, and
+repeats if another window ends at that node with the same words before its anchor.
 
 Words are runs without ASCII white space, unchanged, told by 64-bit hashes. A null text has no
 words. A document with fewer words than a window loses none. Rows with a null id, or an id that
@@ -22,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from cellkpi.llm import repeats
+from cellkpi.llm import repeats, suffix_tree
 from cellkpi.llm.common import sized_slices
 
 WINDOW, GRAM = 20, 6
@@ -46,10 +47,9 @@ def word_codes(text: bytes) -> np.ndarray:
 
 
 def suffix_tree_order(h: np.ndarray, suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes (64-bit words) in tree order, and the depth of each one's branching node.
+    """Suffixes (64-bit words) in tree order, and the depth of the node where each leaves its predecessor.
 
-    The branching node of a suffix and its predecessor is the internal node where their leaves part;
-    its depth is the words they share. Leaves below a node are consecutive.
+    That depth is the words they share; suffixes of different groups share none.
     """
     sizes = np.array([len(s) // 8 for s in suffixes])
     widest = int(sizes.max())
@@ -67,7 +67,9 @@ def suffix_tree_order(h: np.ndarray, suffixes: list[bytes]) -> tuple[np.ndarray,
 
 
 def scheme(window: int = WINDOW, gram: int = GRAM, heavy: int = repeats.HEAVY) -> repeats.Scheme:
-    return repeats.Scheme(window, gram, word_codes, word_codes, lambda x: x, np.uint64, heavy)
+    return repeats.Scheme(
+        window, gram, word_codes, word_codes, lambda x: x, np.uint64, heavy, suffix_tree.loci
+    )
 
 
 def remove_repeated_phrases(

@@ -60,10 +60,26 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+Loci = Callable[[np.ndarray, np.ndarray], Callable[[int], np.ndarray]]
+
+
+def runs(order: np.ndarray, lcp: np.ndarray) -> Callable[[int], np.ndarray]:
+    """A function that numbers, by depth, the runs of the order that share a prefix of that depth."""
+
+    def at(depth: int) -> np.ndarray:
+        run = np.empty(len(order), np.int64)
+        run[order] = np.cumsum(lcp < depth)
+        return run
+
+    return at
+
+
 @dataclass(frozen=True)
 class Scheme:
     """How texts become units. ``codes``: a 64-bit code per unit; ``raw``: what a slice of is shipped.
 
+    ``loci`` turns sorted suffixes and their common prefixes into a look-up of prefixes by falling depth.
+
     ``window`` and ``gram`` are counted in units; a window holds ``window - gram + 1`` grams.
     """
 
@@ -74,6 +90,7 @@ class Scheme:
     to_codes: Callable[[np.ndarray], np.ndarray]
     raw_type: type
     heavy: int = HEAVY
+    loci: Loci = runs
 
     @property
     def grams(self) -> int:
@@ -240,8 +257,7 @@ def windows(found: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def repeated_offsets(
-    lcp: np.ndarray,
-    order: np.ndarray,
+    locus: Callable[[int], np.ndarray],
     left: Callable[[int], np.ndarray],
     least: np.ndarray,
     most: np.ndarray,
@@ -251,25 +267,22 @@ def repeated_offsets(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest offset at which each suffix's window repeats (1 and 0 if none does).
 
-    ``order`` sorts the suffixes and ``lcp`` holds the common prefix of each with its predecessor.
     For an offset o a window is ``left(o)`` (a hash of the o units before the anchor) and the first
-    ``window - o`` units from it; suffixes that share the latter are a run of the order, the
-    locus of that prefix. With ``keep_first`` the suffix of least ``age`` among equal windows does
+    ``window - o`` units from it; suffixes that share the latter have one ``locus``. With ``keep_first`` the suffix of least ``age`` among equal windows does
     not count as a repeat.
     """
-    n = len(order)
+    n = len(least)
     low, high = np.ones(n, np.int64), np.zeros(n, np.int64)
     some = np.zeros(n, bool)
     if not n:
         return low, high
     for o in range(int(least.min()), int(most.max()) + 1):
-        run = np.empty(n, np.int64)
-        run[order] = np.cumsum(lcp < window - o)
+        node = locus(window - o)
         live = np.flatnonzero((least <= o) & (most >= o))
         if len(live) < 2:
             left(o)
             continue
-        key = mixed(left(o)[live] ^ mixed(run[live].view(np.uint64)))
+        key = mixed(left(o)[live] ^ mixed(node[live].view(np.uint64)))
         by_key = np.lexsort((age[live], key)) if keep_first else np.argsort(key)
         key = key[by_key]
         same = np.concatenate([[False], key[1:] == key[:-1]])
@@ -346,7 +359,7 @@ def group_spans(
         anchor = np.cumsum(sizes) - sizes + c_most
         left = left_hashes(scheme.to_codes(flat), anchor, c_most)
         low[pick], high[pick] = repeated_offsets(
-            lcp, order, left, c_least, c_most, age[member[pick]], window, keep_first
+            scheme.loci(order, lcp), left, c_least, c_most, age[member[pick]], window, keep_first
         )
     if keep_first:
         whole = np.arange(len(h)) != member[cls]
