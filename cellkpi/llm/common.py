@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +28,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (written := _written.get()) is not None:
+        written.append(path)
     before = spark.conf.get(RELEASE_SHUFFLES, "false")
     spark.conf.set(RELEASE_SHUFFLES, "true")
     try:
@@ -52,10 +55,30 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` returned, once nothing will read it again."""
-    spark = df.sparkSession
     for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, ``stored``; all other tables that were stored on the way are deleted then."""
+    before = _written.set([])
+    try:
+        made = make()
+        spark, scratch = made.sparkSession, list(_written.get())
+        result = stored(made, name)
+        for folder in scratch:
+            _delete(spark, folder)
+    finally:
+        _written.reset(before)
+    return result
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

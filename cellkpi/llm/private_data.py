@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellkpi.llm.common import free_name, numbered, sized_slices, stored
+from cellkpi.llm.common import free_name, sized_slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -47,6 +47,8 @@ LONG_NUMBER = 9
 # An identifier-like word: four characters or more with a digit or an at sign, less the
 # punctuation around it.
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_WHITE = " \t\n\x0b\x0c\r"
+_BLANK = _WHITE.replace("\n", "")
 _EDGE = "\"'.,;:!?()[]{}<>*#$%&|=`"
 _HAS_MARK = re.compile(r"[0-9@]")
 
@@ -124,16 +126,6 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return {kind: FINDERS[kind](text) for kind in KINDS}
 
 
-def shape(token: str) -> str:
-    """The kinds of characters of a token, runs merged: a letter, 9 digit, others themselves."""
-    out: list[str] = []
-    for c in token[:64]:
-        kind = "9" if c.isdigit() else "a" if c.isalpha() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out)
-
-
 def form(instance: Column) -> Column:
     """The class of identifiers that are comparable: a context of one says nothing of another."""
     numbers = F.regexp_count(instance, F.lit("[0-9]"))
@@ -145,23 +137,36 @@ def form(instance: Column) -> Column:
     )
 
 
-def _context(text: str, before: int, words: int) -> str:
-    """The lower-cased words before a place on the same line, at most ``words``, less edge marks."""
-    left = text[max(0, before - 40 * words) : before]
-    left = left[left.rfind("\n") + 1 :]
-    return " ".join(w.strip(_EDGE).lower() for w in left.split()[-words:])
+def _context(text: str, before: int, words: int, bound: int) -> str:
+    """The last ``words`` lower-cased words before a place on its line, less edge marks.
+
+    Words are whole, however long, but none reaches back over ``bound``, the end of the base span before.
+    """
+    found: list[str] = []
+    at = before
+    while len(found) < words:
+        while at > bound and text[at - 1] in _BLANK:
+            at -= 1
+        end = at
+        while at > bound and text[at - 1] not in _WHITE:
+            at -= 1
+        if at == end:
+            break
+        found.append(text[at:end].strip(_EDGE).lower())
+    return " ".join(found[::-1])
 
 
 def identifiers(text: str, base: dict[str, list[Span]], words: int) -> list[tuple]:
-    """Identifier-like places: (kind or None, start, end, context, instance, shape)."""
+    """Identifier-like places: (kind or None, start, end, context, instance)."""
     found = []
     taken = sorted((b, e, kind) for kind, spans in base.items() for b, e in spans)
     begins = [b for b, _, _ in taken]
     reach: list[int] = []
     for _, end, _ in taken:
         reach.append(max(end, reach[-1]) if reach else end)
-    for b, e, kind in taken:
-        found.append((kind, b, e, _context(text, b, words), text[b:e], shape(text[b:e])))
+    for i, (b, e, kind) in enumerate(taken):
+        bound = min(b, reach[i - 1]) if i else 0
+        found.append((kind, b, e, _context(text, b, words, bound), text[b:e]))
     for match in _marked_tokens(text):
         core = match[0].strip(_EDGE)
         if len(core) < 4 or not _HAS_MARK.search(core):
@@ -171,7 +176,8 @@ def identifiers(text: str, base: dict[str, list[Span]], words: int) -> list[tupl
         before = bisect_right(begins, e - 1)
         if before and reach[before - 1] > b:
             continue  # touches a base span
-        found.append((None, b, e, _context(text, b, words), core, shape(core)))
+        bound = reach[before - 1] if before else 0
+        found.append((None, b, e, _context(text, b, words, bound), core))
     return found
 
 
@@ -180,7 +186,7 @@ def _marked_tokens(text: str) -> Iterator[re.Match]:
     at = 0
     while (mark := _HAS_MARK.search(text, at)) is not None:
         begin = mark.start()
-        while begin > at and text[begin - 1] not in " \t\n\x0b\x0c\r":
+        while begin > at and text[begin - 1] not in _WHITE:
             begin -= 1
         match = _TOKEN.match(text, begin)
         yield match
@@ -194,26 +200,29 @@ def _spans_text(base: dict[str, list[Span]]) -> str:
 SCAN_SCHEMA = (
     "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
     "base array<struct<kind:string,begin:int,end:int>>, "
-    "places array<struct<kind:string,begin:int,end:int,context:string,instance:string,shape:string>>"
+    "places array<struct<kind:string,begin:int,end:int,context:string,instance:string>>"
 )
 
 
-def scan(documents: DataFrame, limits: Bootstrap) -> DataFrame:
-    """Base spans and identifier-like places of every document, with a ``row`` to tell rows apart."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def scan(documents: DataFrame, limits: Bootstrap, with_text: bool = False) -> DataFrame:
+    """Base spans and identifier-like places of every document (doc_id, text); ``with_text`` keeps the text.
+
+    ``doc_id`` may have any type: ``redact`` puts a struct of the row's other columns there.
+    """
+    kind = T.StructType([documents.schema["doc_id"]])
     words = limits.context_words
     span = pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())])
     place = pa.struct(
         [*span, pa.field("context", pa.string()), pa.field("instance", pa.string())]
-        + [pa.field("shape", pa.string())]
     )
-    names = ("kind", "begin", "end", "context", "instance", "shape")
+    names = ("kind", "begin", "end", "context", "instance")
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_slices(batches, 1):
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             hashes, spans, places = [], [], []
             for text in batch.column(1).to_pylist():
+                text = text or ""
                 base = base_spans(text)
                 for k in KINDS:
                     counts[k].append(len(base[k]))
@@ -223,6 +232,7 @@ def scan(documents: DataFrame, limits: Bootstrap) -> DataFrame:
                 )
                 found = identifiers(text, base, words)
                 places.append([dict(zip(names, x, strict=True)) for x in found])
+            texts = [batch.column(1)] if with_text else []
             yield pa.record_batch(
                 [
                     batch.column(0),
@@ -230,11 +240,14 @@ def scan(documents: DataFrame, limits: Bootstrap) -> DataFrame:
                     pa.array(hashes, pa.string()),
                     pa.array(spans, pa.list_(span)),
                     pa.array(places, pa.list_(place)),
+                    *texts,
                 ],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "places"],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "places"]
+                + ["text"] * with_text,
             )
 
-    return documents.mapInArrow(find, f"doc_id {kind}, {SCAN_SCHEMA}")
+    columns = T.StructType.fromDDL(SCAN_SCHEMA + ", text string" * with_text)
+    return documents.mapInArrow(find, T.StructType([*kind.fields, *columns.fields]))
 
 
 def learn_contexts(scanned: DataFrame, limits: Bootstrap) -> DataFrame:
@@ -288,6 +301,17 @@ def find_private(
         F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text")
     )
     scanned = stored(scan(texts, limits).withColumn("row", F.monotonically_increasing_id()), "scan")
+    joined = scanned.drop("places").join(_added(scanned, limits), "row", "left").drop("row")
+    return joined.select(
+        "doc_id",
+        *(f"n_{k}" for k in KINDS),
+        "base_sha256",
+        _found().alias("found"),
+    ).withColumn("spans", F.array_join(F.transform("found", _named), ","))
+
+
+def _added(scanned: DataFrame, limits: Bootstrap) -> DataFrame:
+    """(row, added): the spans that learned contexts add, of the rows that have some."""
     contexts = learn_contexts(scanned, limits)
     loose = scanned.select("row", F.explode("places").alias("p")).select("row", "p.*")
     loose = loose.where("kind is null and context <> ''").drop("kind")
@@ -295,18 +319,14 @@ def find_private(
     # A place that contexts of two kinds mark gets the first kind as listed.
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     once = marked.groupBy("row", "begin", "end").agg(F.min_by("kind", order).alias("kind"))
-    per_row = once.groupBy("row").agg(
+    return once.groupBy("row").agg(
         F.collect_list(F.struct("kind", "begin", "end")).alias("added")
     )
-    joined = scanned.drop("places").join(per_row, "row", "left").drop("row")
+
+
+def _found() -> Column:
     none = F.array().cast("array<struct<kind:string,begin:int,end:int>>")
-    found = _in_order(F.concat("base", F.coalesce("added", none)))
-    return joined.select(
-        "doc_id",
-        *(f"n_{k}" for k in KINDS),
-        "base_sha256",
-        found.alias("found"),
-    ).withColumn("spans", F.array_join(F.transform("found", _named), ","))
+    return _in_order(F.concat("base", F.coalesce("added", none)))
 
 
 def _named(span: Column) -> Column:
@@ -332,17 +352,25 @@ def redact(
 ) -> DataFrame:
     """``documents`` with every span of the text replaced by its kind, such as ``[EMAIL]``.
 
-    Each row gets its own spans, by a row number that is stored first: ``id_column`` is
-    not read, so ids may repeat or be null.
+    Each row keeps its text beside its own spans through the scan: ``id_column`` is not read, so ids may
+    repeat or be null. Only spans that contexts add are joined, by a stored row number. They are written
+    first, so Spark knows their size: below its broadcast limit texts are not shuffled.
     """
-    rows, row = numbered(documents)
-    found = find_private(rows, limits, row, text_column).where(F.size("found") > 0)
-    number, spans = free_name(rows, f"{row}_number"), free_name(rows, f"{row}_found")
-    found = found.select(F.col("doc_id").alias(number), F.col("found").alias(spans))
-    joined = rows.join(found, rows[row] == found[number], "left")
-    hidden = _replaced(F.col(text_column), F.col(spans))
-    text = F.when(F.col(spans).isNull(), F.col(text_column)).otherwise(hidden)
-    return joined.withColumn(text_column, text).select(*documents.columns)
+    others = [F.col(c) for c in documents.columns if c != text_column]
+    rest = F.struct(F.lit(True).alias(free_name(documents, "__row")), *others)
+    texts = documents.select(rest.alias("doc_id"), F.col(text_column).alias("text"))
+    numbered = scan(texts, limits, True).withColumn("row", F.monotonically_increasing_id())
+    scanned = stored(numbered, "scan")
+    added = stored(_added(scanned, limits), "added")
+    joined = scanned.join(added, "row", "left").select("doc_id", "text", _found().alias("found"))
+    some = F.size("found") > 0
+    # Texts without spans are not sent to Python again.
+    hidden = _replaced(F.when(some, F.col("text")), F.when(some, F.col("found")))
+    text = F.when(some, hidden).otherwise(F.col("text"))
+    columns = [
+        text.alias(c) if c == text_column else F.col("doc_id")[c].alias(c) for c in documents.columns
+    ]
+    return joined.select(*columns)
 
 
 def replace_spans(text: str, spans: Iterable[tuple[str, int, int]]) -> str:

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from cellkpi.llm import mixture, transcripts
+from cellkpi.llm import common, mixture, private_data, transcripts
 from cellkpi.llm.private_data import redact, replace_spans
 
 CONVERSATIONS = "conv_id long, turn int, role string, text string"
@@ -61,3 +61,32 @@ def test_turn_numbers_with_gaps_fit_the_same_model(spark):
         lines = transcripts.lines_of(table, ("conv_id", "turn", "role", "text"))
         models.append(transcripts.fit(lines))
     assert repr(models[0]) == repr(models[1])
+
+
+def test_redact_keeps_clashing_columns_null_texts_and_each_rows_own_spans(spark):
+    rows = [
+        (1, "write to a.b@example.org now", "x", 1, 5),
+        (1, "call +1 202 555 1234 now", "y", 2, 6),
+        (None, None, "z", 3, None),
+        (None, "", None, 4, 8),
+    ]
+    schema = "doc_id long, text string, spans string, __row long, row long"
+    docs = spark.createDataFrame(rows, schema)
+    found = private_data.redact(docs)
+    assert found.schema == docs.schema
+    wanted = [(1, "write to [EMAIL] now", "x", 1, 5), (1, "call [PHONE] now", "y", 2, 6), *rows[2:]]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[3]) == wanted
+
+
+def test_contexts_are_whole_words_up_to_the_span_before():
+    long = "w" * 500
+    assert private_data._context(f"a {long} code x1", 2 + 500 + 6, 2, 0) == f"{long} code"
+    assert private_data._context("mail a@b.c or 17x4", 14, 2, 10) == "or"
+    assert private_data._context("one\ntwo 17x4", 8, 2, 0) == "two"
+
+
+def test_scratch_tables_of_a_stage_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_path", lambda _, name: str(tmp_path / name))
+    made = common.stored_alone(lambda: common.stored(spark.range(9), "first").where("id > 3"), "second")
+    assert made.count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["second"]
