@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellkpi.functions.cells import CELL
 from cellkpi.sources.extracts import with_cell_dimensions
@@ -52,11 +53,16 @@ def save_bucketed(
 ) -> None:
     """Facts as a catalog table bucketed and sorted by cell, one file per day and bucket.
 
-    Choose so many buckets that one of them, over the days that a report reads, fits a task.
+    A day's bucket beyond the advisory partition size of adaptive execution gets several files, each written by
+    a task of its own, so that what a task sorts does not grow with the facts. Reading streams: a task holds the
+    groups of a bucket, not its rows.
     """
     stored = with_cell_dimensions(facts)
-    # Each task writes one bucket of all days; without this every task would write every bucket.
-    placed = stored.repartition(buckets, CELL)
+    # By the bucket itself, as Spark computes it, or every task would write every bucket; a rebalance, unlike
+    # a repartition, also splits what is large.
+    bucket = f"bucket_{uuid.uuid4().hex}"
+    numbered = stored.withColumn(bucket, F.pmod(F.hash(CELL), F.lit(buckets)))
+    placed = numbered.hint("rebalance", bucket, *([PARTITION] if by_day else [])).drop(bucket)
     writer = placed.write.bucketBy(buckets, CELL).sortBy(CELL).mode(mode)
     if by_day:
         writer = writer.partitionBy(PARTITION)

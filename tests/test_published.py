@@ -71,6 +71,24 @@ def test_bucketed_facts_need_no_shuffle_per_cell(spark, sf_dir):
         assert values(found, *columns) == values(plain, *columns)
 
 
+def test_a_large_bucket_is_written_by_many_tasks(spark):
+    row = {"EUTRANCELLFDD": "SAA108ML1", "DATE_ID": "2023-07-01"}
+    source = facts(spark, [{**row, "SE_2": float(i), "UL_RSSI_dbm": i * 0.7} for i in range(4000)]).repartition(8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "8k")
+    try:
+        save_bucketed(source, "large_bucket", 2)
+    finally:
+        spark.conf.unset(size)
+    stored = spark.table("large_bucket")
+    sizes = stored.groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) <= 1000
+    assert not [c for c in stored.columns if c.startswith("bucket")]
+    found = means_by_sector_cell(page_rows(stored, "daily"), "Daily", ["SE_2"], 6)
+    assert "Exchange" not in plan(found)
+    assert values(found, "EUTRANCELLFDD", "SE_2") == [("SAA108ML1", 1999.5)]
+
+
 HEADER = "AREA,DATE_ID,ERBS,EUTRANCELLFDD,SE (2)\n"
 GOOD = 'a,2023-07-01,x,SAA108ML1,1.5\n"b, c",2023-07-02,x,SAA108ML2,n/a\n,,x,SAA108ML3,\n'
 BAD = "a,2023-07-01,x,SAA108ML4\na,2023-07-01,x,SAA108ML5,1,2\na,yesterday,x,SAA108ML6,1\n"
