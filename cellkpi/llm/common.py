@@ -106,17 +106,18 @@ def sized_slices(
 
 
 def grouped_chunks(
-    batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000
+    batches: Iterable[pa.RecordBatch], key: str, rows: int = 50_000, most: int = 1 << 62
 ) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal ``key`` from batches sorted by it, of about ``rows`` rows."""
+    """Tables of whole runs of equal ``key`` from batches sorted by it, of about ``rows`` rows or ``most`` bytes."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        size += batch.nbytes
+        if count < rows and size < most:
             continue
         whole = pa.Table.from_batches(held)
         keys = whole.column(key)
@@ -125,6 +126,6 @@ def grouped_chunks(
             continue
         yield whole.slice(0, whole.num_rows - same)
         held = whole.slice(whole.num_rows - same).combine_chunks().to_batches()
-        count = same
+        count, size = same, sum(part.nbytes for part in held)
     if held:
         yield pa.Table.from_batches(held)

@@ -114,3 +114,47 @@ def test_a_candidate_of_many_is_split(spark):
     for i in range(1, 1300):
         texts[i] = " ".join([*words, f"leaf{i}"])
     assert kept(spark, texts) == {0}
+
+
+def test_the_nearest_is_not_the_only_partner(spark):
+    """Each text of a pair at 0.8 has many nearer ones below 0.8, before it in every bucket that they share."""
+    rng = random.Random(3)
+    core = [f"core{i}" for i in range(204)]
+    tail = [f"tail{i}" for i in range(27)]
+    texts = {i: " ".join([*core, *(f"own{i}x{k}" for k in range(27))]) for i in range(150)}
+    texts[200] = " ".join([*core, *tail])
+    for i in range(201, 206):
+        texts[i] = " ".join([*core, *tail[:2], *(f"own{i}x{rng.randrange(10**6)}" for _ in range(25))])
+    groups = plain_groups(texts)
+    assert groups[201] == groups[205] == 200 and len(set(groups.values())) == 151
+    assert kept(spark, texts) == set(groups.values())
+    assert kept(spark, texts, block=40) == set(groups.values())
+    assert kept(spark, texts, block_bytes=1 << 16) == set(groups.values())
+
+
+def test_all_groups_with_a_similar_pair_are_joined():
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 40)), dtype=np.uint64))
+        sets = []
+        for _ in range(40):
+            own = rng.integers(0, 1 << 63, int(rng.integers(0, 6)), dtype=np.uint64)
+            sets.append(np.union1d(base[rng.random(len(base)) < rng.choice([0.85, 1])], own))
+        node, block = rng.permutation(40), rng.integers(0, 2, 40)
+        root = np.where(rng.random(40) < 0.3, node.min(), node)
+        for across in (False, True):
+            left, right = nc.similar_apart(node, root, block, sets, across, 0.8)
+            at = {int(v): i for i, v in enumerate(node)}
+
+            def linked(i, j):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                near = both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+                return root[i] == root[j] or (near and not (across and block[i] == block[j]))
+
+            expected = plain_components(range(40), linked)
+            found = {(at[a], at[b]) for a, b in zip(left, right, strict=True)}
+            assert all(linked(*pair) and root[pair[0]] != root[pair[1]] for pair in found)
+            joined = plain_components(
+                range(40), lambda i, j: root[i] == root[j] or (i, j) in found or (j, i) in found
+            )
+            assert joined == expected, trial
